@@ -1,0 +1,38 @@
+from collections import Counter
+
+import pytest
+from orweave.llm import common, line_runs
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(WHITE))
+
+
+def brute(texts, least):
+    seen = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
+    lines = [(t or "").split("\n") for t in texts]
+    return Counter((len(x), sum(seen[key(y)] >= least for y in x), "\n".join(y for y in x if seen[key(y)] < least)) for x in lines)
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_same_as_brute_force(spark, least):
+    texts = ["a\nB\n c ", "A\nb\nd", "\n\n", "", None, "b\na\na\nÀ", "à\nb", "\x85x\nx", "x\u00a0\nx", "\n".join(map(str, range(3000))) + "\n\n17", "17\n18\n", "tail\n", "a\nB\n c ", "\\n\n$1"]
+    docs = spark.createDataFrame([(i % 5, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_lines int").repartition(4)
+    found = line_runs.drop_lines(docs, min_docs=least, batches=3).collect()
+    assert Counter((r.n_lines, r.n_dropped, r.kept) for r in found) == brute(texts, least)
+    assert {r.doc.n_lines for r in found} == set(range(len(texts)))
+
+
+def test_runs_are_compacted_and_known_keys_stay_out(spark):
+    runs = line_runs.LineRuns(spark, common.scratch(spark, "runs"), frequent=3, fanout=2)
+    for n in (2, 2, 5, 1):
+        runs.add(spark.createDataFrame([(1, 1, n), (2, n, 1)], line_runs.SCHEMA))
+    assert [len(x) for x in runs.levels] == [0, 0, 1]
+    assert {(r.h1, r.h2) for r in runs.found().collect()} == {(1, 1)}
+    assert runs._read(runs.names()[0]).where("h1 = 1").first().n == 4  # later batches found it sealed
+
+
+def test_empty_table(spark):
+    assert line_runs.drop_lines(spark.createDataFrame([], "text string, doc int")).count() == 0
