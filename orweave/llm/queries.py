@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, line_runs, token_files
+from orweave.llm import chat, common, line_runs, simhash, token_files
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -32,13 +32,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(common.table(chat.examples(turns.unionByName(planted)), "chat"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group documents whose 64-bit SimHash fingerprints of 3-word shingles are linked at 3 bits or fewer."""
+    rows = simhash.groups(common.read(spark, sf_dir, "documents"), k=3, bits=64, radius=3)
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop the lines found in ten documents or more."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_runs.drop_lines(docs, min_docs=10).select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_chat_format": op2_chat_format, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_chat_format": op2_chat_format,
+    "op8_simhash": op8_simhash,
+    "op10_line_dedup": op10_line_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": f"""
