@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, line_runs, simhash, token_files
+from orweave.llm import chat, common, decontaminate, line_runs, simhash, token_files
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -38,6 +38,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the 10-word windows of the benchmark in documents."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.hits(docs, common.read(spark, sf_dir, "benchmark"), size=10)
+    n_hit = decontaminate.n_hit()
+    items = F.array_sort("items")
+    return rows.select("doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop the lines found in ten documents or more."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +57,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_chat_format": op2_chat_format,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 
