@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, decontaminate, line_runs, simhash, token_files
+from orweave.llm import chat, common, decontaminate, langid, line_runs, simhash, token_files
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -32,6 +32,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(common.table(chat.examples(turns.unionByName(planted)), "chat"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every document; documents with remainder 2 are held out of training."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    rows = langid.identify(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return rows.select("doc.doc_id", "lang_pred", "score", "entropy", "rejected").withColumn("held_out", held_out)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group documents whose 64-bit SimHash fingerprints of 3-word shingles are linked at 3 bits or fewer."""
     rows = simhash.groups(common.read(spark, sf_dir, "documents"), k=3, bits=64, radius=3)
@@ -56,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_chat_format": op2_chat_format,
+    "op4_language": op4_language,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
