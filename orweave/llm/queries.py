@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, decontaminate, langid, line_runs, simhash, token_files
+from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, simhash, token_files
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -32,6 +32,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(common.table(chat.examples(turns.unionByName(planted)), "chat"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the main text of every page."""
+    pages = common.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document; documents with remainder 2 are held out of training."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -64,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_chat_format": op2_chat_format,
+    "op3_html_text": op3_html_text,
     "op4_language": op4_language,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,

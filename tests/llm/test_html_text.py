@@ -1,0 +1,68 @@
+import html as entities
+import re
+from collections import Counter
+
+import pytest
+from orweave.llm import common, html_text, queries
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p><article>x';</script></head><body class='has-sidebar'>{body}</body></html>"
+
+
+CASES = [
+    ("<nav><ul><li><a href=/x>menu</a></ul></nav><article><h1>A &amp;amp; b</h1><p>one<br>two &nbsp; &lt;p&gt; 1 < 2<p>th<b>r</b>ee</article><footer>f</footer>", ["A &amp; b", "one two <p> 1 < 2", "three"]),
+    ("<header>site</header><main><h2>t</h2><div class='ad-box'>buy</div><p>x</p><form><p>mail</p><button>go</button></form><aside>s</aside></main>", ["t", "x"]),
+    ("<article><p>kept<div id=comments><article class=comment><p>reader</p></article></div><p>also</article>", ["kept", "also"]),
+    ("<div id='content'><div class='post-header'><h1>h</h1></div><p>a</p><p class=notice>n<p>b</div><div>other</div>", ["h", "a", "b"]),
+    ("<article><p>a<!-- <p>no --><p>b<script>x</article>", ["a", "b"]),
+    ("<article>a<span class='ad'>b</span>c <i>d</i></article>", ["a", "c d"]),
+    ("<article><p hidden>a</p><p style='display: none'>b</p><table><tr><td>c<td>d</table></article>", ["c", "d"]),
+    ("", []),
+    ("<p>plain", ["plain"]),
+]
+
+
+@pytest.mark.parametrize("body, want", CASES)
+def test_blocks(body, want):
+    assert html_text.parse(page(body))[1] == want
+
+
+def test_pages_of_the_test_data(spark):
+    """Every page's article is what stands between its article tags."""
+    sf = "/root/testdata/sf0.01"
+    rows = {r.page_id: r for r in queries.op3_html_text(spark, sf).collect()}
+    pages = common.read(spark, sf, "pages").collect()
+    assert len(rows) == len(pages)
+    for p in pages:
+        inner = re.search("<article>(.*)</article>", p.html, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner.replace("<br>", " "))]
+        assert rows[p.page_id].text == "\n\n".join(filter(None, blocks)) and rows[p.page_id].n_chars == len(rows[p.page_id].text)
+
+
+def test_repeats_on_a_host_go_and_unique_runs_stay(spark):
+    menu = " ".join(f"m{i}" for i in range(9))
+    rows = [(1, "http://a/1", f"<div>{menu}</div><p>first text</p><p>copied</p>"), (2, "http://a/2", f"<div>{menu} today</div><p>second text</p>"), (3, "http://b/3", f"<div>{menu}</div><p>third"), (4, None, None), (5, "http://a/1", ""), (1, "http://a/1", f"<div>{menu}</div><p>first text</p><p>copied</p>")]
+    found = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string"), run=5).collect()
+    assert Counter((r.doc.page_id, r.text) for r in found) == Counter({(1, "first text\n\ncopied"): 2, (2, "today\n\nsecond text"): 1, (3, menu + "\n\nthird"): 1, (4, ""): 1, (5, ""): 1})
+
+
+def test_suffixes_equal_a_plain_suffix_array():
+    """Words covered by equal prefixes are those that a sorted suffix array with neighbours' common prefixes covers."""
+    pages = [["a b c d e f", "x y"], ["q a b c d", "f x"], ["a b x y a b c"], ["z"]]
+    run = 3
+    streams = [" ".join(p).split() for p in pages]
+    array = sorted((s[i:], n, i) for n, s in enumerate(streams) for i in range(len(s)))
+    want = {n: set() for n in range(len(pages))}
+    for x in range(len(array)):
+        for y in range(x + 1, len(array)):
+            (a, n, i), (b, m, j) = array[x], array[y]
+            lcp = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+            if n != m and lcp >= run:
+                want[n] |= set(range(i, i + lcp))
+                want[m] |= set(range(j, j + lcp))
+    hashes = [html_text.suffixes(p, run) for p in pages]
+    for n, p in enumerate(pages):
+        starts = [i for i, h in enumerate(hashes[n]) if any(h in o for m, o in enumerate(hashes) if m != n)]
+        kept = [w for i, w in enumerate(streams[n]) if i not in want[n]]
+        assert " ".join(html_text.unique_runs(p, starts, run)).split() == kept
