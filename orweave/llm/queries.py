@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, simhash, token_files
+from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, quality, simhash, token_files
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -46,6 +46,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "lang_pred", "score", "entropy", "rejected").withColumn("held_out", held_out)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge the quality of every document from its style, its path and its site."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = quality.classify(docs, common.read(spark, sf_dir, "labels"))
+    return rows.select("doc.doc_id", "evidence", "site_prior", "path_prior", "posterior", "accepted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group documents whose 64-bit SimHash fingerprints of 3-word shingles are linked at 3 bits or fewer."""
     rows = simhash.groups(common.read(spark, sf_dir, "documents"), k=3, bits=64, radius=3)
@@ -72,6 +79,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
+    "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
