@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, quality, simhash, token_files
+from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, quality, rp_forest, simhash, token_files
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -53,6 +53,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "evidence", "site_prior", "path_prior", "posterior", "accepted")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link embeddings of one label at cosine 0.93 or more."""
+    return rp_forest.near_duplicates(common.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group documents whose 64-bit SimHash fingerprints of 3-word shingles are linked at 3 bits or fewer."""
     rows = simhash.groups(common.read(spark, sf_dir, "documents"), k=3, bits=64, radius=3)
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
     "op6_quality": op6_quality,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
