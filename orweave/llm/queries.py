@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, quality, rp_forest, simhash, token_files
+from orweave.llm import chat, common, decontaminate, html_text, langid, line_runs, quality, rp_forest, sentence_pieces, simhash, token_files
 
-TOKENIZER_FILE = "byte_bpe_50k.json"
+TOKENIZER_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _tokenizer(name: str) -> str:
@@ -46,6 +46,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "lang_pred", "score", "entropy", "rejected").withColumn("held_out", held_out)
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document, keep its four best segmentations' scores and sums, decode the best."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentence_pieces.encode(docs, _tokenizer(PIECE_FILE), n=4)
+    return rows.select("doc.doc_id", "n_pieces", "scores", "variants_crc32", "round_trip")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge the quality of every document from its style, its path and its site."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
@@ -84,6 +91,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
+    "op5_sentence_pieces": op5_sentence_pieces,
     "op6_quality": op6_quality,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash": op8_simhash,
