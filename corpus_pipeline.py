@@ -1,15 +1,63 @@
-"""The stages that turn raw documents into a training corpus."""
+"""The stages that turn raw documents into a training corpus.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns;
+the last returns encoded documents. ``run`` writes each stage's result to the shared folder and
+reads it back, so a lost executor costs at most the stage that is running.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orweave.llm import common, decontaminate, line_runs, quality, sentence_pieces, simhash
+from orweave.llm.queries import PIECE_FILE, _tokenizer
+
+SIMILARITY, SHINGLE, BITS, TABLES = 0.8, 5, 256, 32
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.classify(docs, common.read(spark, sf_dir, "labels")).where("accepted").select("doc.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents or more share."""
+    rows = line_runs.drop_lines(docs, min_docs=10)
+    return rows.select("doc.*", "kept").withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).drop("kept")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 as 256-bit fingerprints estimate it."""
+    rows = simhash.groups(docs, SHINGLE, BITS, simhash.radius_of(SIMILARITY, BITS), TABLES)
+    return simhash.representatives(docs, rows)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten-word window of the benchmark occurs."""
+    return decontaminate.hits(docs, common.read(spark, sf_dir, "benchmark"), size=10).where(F.size("firsts") == 0).select("doc.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as piece ids, with the scores of their four best segmentations."""
+    rows = sentence_pieces.encode(docs, _tokenizer(PIECE_FILE), n=4)
+    return rows.select("doc.*", "ids", "n_pieces", "scores", "round_trip")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_repeated_lines),
+    ("SimHash near-dedup", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", encode),
+]
 
-STAGES: list = []
+#: Fingerprints, a fitted classifier and piece lattices are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

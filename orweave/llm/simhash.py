@@ -67,17 +67,22 @@ def fingerprint(text: bytes | None, k: int, bits: int = 64) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def row_key(id_col: str, text_col: str) -> list:
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
+
+
 def fingerprints(docs: DataFrame, k: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary) of every row."""
+    """doc_id, k1 and k2 (a 128-bit hash of id and text), fp (binary) of every row."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([fingerprint(t.as_py(), k, bits) for t in some.column(1)], pa.binary())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([fingerprint(t.as_py(), k, bits) for t in some.column(3)], pa.binary())], names=["doc_id", "k1", "k2", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp binary")
 
 
 class BKTree:
@@ -215,9 +220,17 @@ def radius_of(similarity: float, bits: int) -> int:
 
 
 def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None = None, block_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest id of the group) of every row."""
+    """doc_id, k1, k2, fp, component_id (the smallest id of the group) of every row."""
     rows = common.table(fingerprints(docs, k, bits, id_col, text_col), "fingerprints")
     members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "members")
     found = components(links(members.where("rep is not null"), bits, radius, tables, block_bits))
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of ``groups``: that with the smallest id, of equal rows any one."""
+    group = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))
+    firsts = grouped.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id_col, text_col))
+    return keyed.join(firsts, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("doc.*")
