@@ -4,7 +4,7 @@ import sys
 import pytest
 
 TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, TOP)
+sys.path[:0] = [TOP, os.path.dirname(os.path.abspath(__file__))]
 os.environ["PYTHONPATH"] = TOP + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
