@@ -99,7 +99,30 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_embedding_dedup": """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id != b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+groups as (select a, min(b) as b from reach group by a),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, least(vec_id, coalesce(g.b, vec_id)) as component_id, vec_id <= coalesce(g.b, vec_id) as kept
+from embeddings left join groups g on vec_id = g.a left join counts c on vec_id = c.a""",
+    "op9_decontaminate": f"""
+with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
+i as (select item_id, {WORDS} as w from benchmark),
+windows as (
+  select distinct cast(item_id as varchar) as item, least(10, len(w)) as n, array_to_string(w[s : s + 9], ' ') as t
+  from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) as s from i where len(w) > 0)),
+starts as (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from windows) where len(w) >= n),
+hits as (select r, s, n, item from (select r, s, n, array_to_string(w[s : s + n - 1], ' ') as t from starts) join windows using (n, t)),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from hits) group by r),
+items as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)""",
     "op2_chat_format": f"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
