@@ -45,9 +45,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    return table_at(df, name)[0]
+
+
+def table_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``table``, with the path, so that the caller can remove what nothing reads any more."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 @atexit.register

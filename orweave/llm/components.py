@@ -35,11 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
-    state, before = common.table(edges, "edges"), None
+    spark = edges.sparkSession
+    (state, path), before = common.table_at(edges, "edges"), None
     while True:
         n, total = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if (n, total) == before or not n:
             break
         before = n, total
-        state = common.table(_star(common.table(_star(state, True), "edges"), False), "edges")
+        hung, middle = common.table_at(_star(state, True), "edges")
+        state, new = common.table_at(_star(hung, False), "edges")
+        for old in (path, middle):
+            common.remove(spark, old)
+        path = new
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

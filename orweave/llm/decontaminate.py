@@ -47,11 +47,10 @@ class Windows:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
                 of.setdefault(tuple(ids[at : at + size]), set()).add(item)
-        self.windows = [np.array(w, np.int64) for w in of]
         self.items = [sorted(x) for x in of.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
+        self.lengths = np.fromiter(map(len, of), np.int64, len(of))
         self.padded = np.full((len(of), size), -1, np.int64)
-        for i, w in enumerate(self.windows):
+        for i, w in enumerate(of):
             self.padded[i, : len(w)] = w
 
 
@@ -76,11 +75,13 @@ class Segment:
 
     def phrases(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
         """(window number, position of its first word) of every occurrence of every window."""
-        if not len(w.windows) or not len(self.positions):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         counts = np.append(np.diff(self.bounds), np.iinfo(np.int64).max)  # the last, for the pad, sorts behind all
-        order = np.argsort(counts[w.padded], axis=1, kind="stable")
-        rarest = np.take_along_axis(w.padded, order[:, :1], 1)[:, 0]
+        alive = np.flatnonzero(counts[w.padded].min(axis=1, initial=1) > 0)  # windows all of whose terms are here
+        if not len(alive):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        padded = w.padded[alive]
+        order = np.argsort(counts[padded], axis=1, kind="stable")
+        rarest = np.take_along_axis(padded, order[:, :1], 1)[:, 0]
         n = counts[rarest]
         which = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -89,10 +90,10 @@ class Segment:
             if not len(which):
                 break
             offset = order[which, k]
-            need, there = w.padded[which, offset], at + offset
+            need, there = padded[which, offset], at + offset
             ok = (need < 0) | (at >= 0) & (there < len(self.ids)) & (self.ids[np.clip(there, 0, len(self.ids) - 1)] == need)
             which, at = which[ok], at[ok]
-        return which, at
+        return alive[which], at
 
     def near(self, terms: list[int], within: int) -> list[tuple[int, int]]:
         """The least spans (first, last position) of at most ``within`` words of one document that hold all terms."""
@@ -147,7 +148,7 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int):
     yield block
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 2_000_000) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000) -> DataFrame:
     """doc (struct of the input's columns), n_words, firsts, ends (spans of hit words), items (ids as strings)."""
     spark = docs.sparkSession
     common.ship(spark)

@@ -31,7 +31,7 @@ def case():
     return items, texts
 
 
-@pytest.mark.parametrize("block", [2_000_000, 6])
+@pytest.mark.parametrize("block", [250_000, 6])
 def test_same_as_brute_force(spark, block):
     items, texts = case()
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts + texts[:2])], "doc_id long, text string, n_words int").repartition(3)
