@@ -184,3 +184,12 @@ def test_measures(spark, tmp_path):
     assert (tmp_path / "m.csv").read_text().count("\n") == 3 and all(m.rows == 1 and m.run_ms > 0 for m in found)
 
 
+
+
+def test_experiments(spark, tmp_path):
+    from orweave import experiments
+
+    write_synthetic(spark, str(tmp_path / "d"), {"1e4": 3})
+    experiments.main(["synthetic", "--data", str(tmp_path / "d"), "--trials", "1", "--points", "1", "--out", str(tmp_path / "o.csv")])
+    lines = (tmp_path / "o.csv").read_text().splitlines()
+    assert len(lines) == 6 and lines[0].startswith("clauses,trial,planner")
