@@ -36,18 +36,25 @@ from orweave.llm import common
 
 MARK = "▁"
 INF = float("inf")
-_models: dict[tuple[str, int], "Pieces"] = {}
+_models: dict[str, "Pieces"] = {}
 
 
 class Pieces:
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 800_000):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.get_piece_size()
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): (i, m.get_score(i)) for i in range(size) if m.is_byte(i)}
         self.scores = {m.id_to_piece(i): (i, m.get_score(i)) for i in range(size) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
-        self.prefixes = {p[:k] for p in self.scores for k in range(1, len(p) + 1)}
+        #: The pieces by character: a node maps characters to nodes and 0 to (id, score) where a piece ends.
+        self.trie: dict = {}
+        for piece, end in self.scores.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[0] = end
+        self.pairs = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
         self.parted = not any(MARK in p.lstrip(MARK) for p in self.scores)
         self.texts = [m.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         for b, (i, _) in self.bytes.items():
@@ -65,11 +72,11 @@ class Pieces:
             def __missing__(self, segment: str) -> int:
                 if (at := pieces.late.get(segment)) is not None:
                     return at
+                ids, score, count, gap = pieces.solve(segment)
                 at = len(pieces.ids)
-                ids, score, gap = pieces.best(segment)
-                pieces.ids.append(np.array(ids, pieces.width).tobytes())
+                pieces.ids.append(ids)
                 pieces.score.append(score)
-                pieces.count.append(len(ids))
+                pieces.count.append(count)
                 pieces.gap.append(gap)
                 if at < pieces.room:
                     self[segment] = at
@@ -94,21 +101,24 @@ class Pieces:
 
     def edges(self, segment: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each start: (end, ids, score) of the edges that leave it."""
-        get, prefixes, n, out = self.scores.get, self.prefixes, len(segment), []
+        n, out = len(segment), []
         for at in range(n):
-            here = []
-            for to in range(at + 1, n + 1):
-                part = segment[at:to]
-                if part not in prefixes:
+            here, node = [], self.trie
+            for to in range(at, n):
+                if (node := node.get(segment[to])) is None:
                     break
-                if (p := get(part)) is not None:
-                    here.append((to, (p[0],), p[1]))
+                if p := node.get(0):
+                    here.append((to + 1, (p[0],), p[1]))
             if not here or here[0][0] != at + 1:
-                found = [self.bytes[b] for b in segment[at].encode("utf-8", "replace")]
-                here.insert(0, (at + 1, tuple(i for i, _ in found), sum(s for _, s in found)))
+                here.insert(0, (at + 1, *self._spelled(segment[at])))
             out.append(here)
         return out
 
+    def _spelled(self, char: str) -> tuple[tuple[int, ...], float]:
+        """(ids, score) of the byte pieces of a character."""
+        found = [self.bytes[b] for b in char.encode("utf-8", "replace")]
+        return tuple(i for i, _ in found), sum(s for _, s in found)
+
     @staticmethod
     def forward(edges: list) -> tuple[list[float], list[tuple]]:
         """Best score of the paths to each place and the last edge (start, edge) of one."""
@@ -121,21 +131,49 @@ class Pieces:
                     best[edge[0]], last[edge[0]] = base + edge[2], (at, edge)
         return best, last
 
-    def best(self, segment: str) -> tuple[list[int], float, float]:
-        """(ids of the best path, its score, by how much the second best is lower)."""
-        edges = self.edges(segment)
-        fore, last = self.forward(edges)
-        n = len(edges)
-        back = [-INF] * n + [0.0]
-        for at in range(n - 1, -1, -1):
-            back[at] = max(e[2] + back[e[0]] for e in edges[at])
-        path, at = [], n
+    def solve(self, segment: str) -> tuple[bytes, float, int, float]:
+        """(ids of the best path, its score, number of ids, by how much the second best is lower).
+
+        Where no piece holds two neighbouring characters, every path passes between them: such
+        parts are looked up, so that a word is solved once with and without its punctuation.
+        """
+        pairs, cuts = self.pairs, [0]
+        cuts += [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in pairs]
+        if len(cuts) > 1:
+            found = [self.known[segment[a:b]] for a, b in zip(cuts, [*cuts[1:], len(segment)], strict=True)]
+            return b"".join(self.ids[i] for i in found), sum(self.score[i] for i in found), sum(self.count[i] for i in found), min(self.gap[i] for i in found)
+        n, trie = len(segment), self.trie
+        fore, last = [0.0] + [-INF] * n, [None] * (n + 1)
+        edges = []
+        for at in range(n):
+            base, node, to, first = fore[at], trie, at, len(edges)
+            while to < n and (node := node.get(segment[to])) is not None:
+                to += 1
+                if 0 in node:
+                    i, score = node[0]
+                    edges.append((at, to, score))
+                    if base + score > fore[to]:
+                        fore[to], last[to] = base + score, (at, i)
+            if len(edges) == first or edges[first][1] != at + 1:
+                ids, score = self._spelled(segment[at])
+                edges.append((at, at + 1, score))
+                if base + score > fore[at + 1]:
+                    fore[at + 1], last[at + 1] = base + score, (at, ids)
+        path, used, at = [], set(), n
         while at:
-            path.append(last[at])
-            at = last[at][0]
-        used = {(a, e[0]) for a, e in path}
-        second = max((fore[a] + e[2] + back[e[0]] for a, here in enumerate(edges) for e in here if (a, e[0]) not in used), default=-INF)
-        return [i for _, e in reversed(path) for i in e[1]], fore[n], fore[n] - second
+            start, ids = last[at]
+            path.append(ids)
+            used.add((start, at))
+            at = start
+        back, second = [-INF] * n + [0.0], -INF
+        for at, to, score in reversed(edges):
+            rest = score + back[to]
+            if rest > back[at]:
+                back[at] = rest
+            if fore[at] + rest > second and (at, to) not in used:
+                second = fore[at] + rest
+        flat = [i for ids in reversed(path) for i in (ids if isinstance(ids, tuple) else (ids,))]
+        return np.array(flat, self.width).tobytes(), fore[n], len(flat), fore[n] - second
 
     def nbest(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths by backward A-star with forward Viterbi scores: (score, ids), best first."""
@@ -185,12 +223,21 @@ class Pieces:
         joined = b"".join(map(self.ids.__getitem__, where))
         return joined, count, [total - c for c, _ in ways], [w for _, w in ways], where
 
-    def variant(self, text: str, where: list[int], way: tuple[tuple[int, int], ...]) -> bytes:
-        """Ids of the segmentation that deviates from the best one as ``way`` says."""
-        parts, changed = self.segments(text), list(map(self.ids.__getitem__, where))
-        for i, k in way:
-            changed[i] = np.array(self.several[parts[i]][k][1], self.width).tobytes()
-        return b"".join(changed)
+    def variants(self, text: str, best: bytes, where: list[int], ways: list[tuple[tuple[int, int], ...]]) -> list[bytes]:
+        """Ids of the segmentations that deviate from the best one as ``ways`` say."""
+        if len(ways) == 1:
+            return [best]
+        parts, size = self.segments(text), np.dtype(self.width).itemsize
+        ends = np.cumsum(np.frombuffer(self.count, np.int64)[np.array(where)]) * size
+        out = []
+        for way in ways:
+            pieces, at = [], 0
+            for i, k in way:
+                end = int(ends[i])
+                pieces += [best[at : end - len(self.ids[where[i]])], np.array(self.several[parts[i]][k][1], self.width).tobytes()]
+                at = end
+            out.append(b"".join([*pieces, best[at:]]))
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids; the mark in front is taken off."""
@@ -199,9 +246,10 @@ class Pieces:
 
 
 def model(path: str) -> Pieces:
-    if (key := (path, 0)) not in _models:
-        _models[key] = Pieces(path)
-    return _models[key]
+    """The model of a worker process, kept from task to task."""
+    if path not in _models:
+        _models[path] = Pieces(path)
+    return _models[path]
 
 
 def encode(docs: DataFrame, path: str, n: int = 4, text_col: str = "text") -> DataFrame:
@@ -226,7 +274,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, text_col: str = "text") -> Da
                     ids.append(numbers)
                     counts.append(count)
                     scores.append(values)
-                    sums.append([zlib.crc32(m.variant(text, where, w) if w else best) for w in ways])
+                    sums.append([zlib.crc32(v) for v in m.variants(text, best, where, ways)])
                     trips.append(m.decode(numbers.tolist()) == text)
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat)

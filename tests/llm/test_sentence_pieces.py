@@ -32,7 +32,7 @@ def test_n_best_are_the_best_of_all(text, n):
     want = every_path(m, text)
     best, count, scores, ways, where = m.encode(text, n)
     assert scores == pytest.approx([s for s, _ in want[:n]]) and count == len(best) // 2
-    found = [np.frombuffer(m.variant(text, where, w), m.width).tolist() for w in ways]
+    found = [np.frombuffer(v, m.width).tolist() for v in m.variants(text, best, where, ways)]
     assert found[0] == np.frombuffer(best, m.width).tolist() and len({tuple(f) for f in found}) == len(found)
     by = {ids: s for s, ids in want}
     assert [by[tuple(f)] for f in found] == pytest.approx(scores)
