@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from orweave.llm import common, decontaminate, line_runs, quality, sentence_pieces, simhash
 from orweave.llm.queries import PIECE_FILE, _tokenizer
 
-SIMILARITY, SHINGLE, BITS, TABLES = 0.8, 5, 256, 32
+#: Near copies: five-word shingles, Jaccard similarity 0.8. Candidates: 256-bit fingerprints within RADIUS that agree on one
+#: of TABLES blocks of 16 bits; a pair at 0.8 differs in 39 bits on average, with a standard deviation of 6.
+SIMILARITY, SHINGLE, BITS, RADIUS, TABLES = 0.8, 5, 256, 50, 40
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 as 256-bit fingerprints estimate it."""
-    rows = simhash.groups(docs, SHINGLE, BITS, simhash.radius_of(SIMILARITY, BITS), TABLES)
-    return simhash.representatives(docs, rows)
+    """One document of each group of near copies."""
+    wide = common.table(simhash.groups(docs, SHINGLE, BITS, RADIUS, TABLES), "wide-groups")
+    return simhash.representatives(docs, simhash.verified(docs, wide, SHINGLE, RADIUS, SIMILARITY))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ Shards that hold more than ``room`` members are dealt out as tiles, each pair of
 and its queries, so no task holds more than two chunks. A tile reports a spanning forest of its
 links, never its pairs, and the components of all forests are the groups.
 
+``verified`` makes such groups exact: members of a group with a wide radius are compared by the
+Jaccard similarity of their shingle sets, again by tiles that report forests.
+
 Defined cases: a null text and one without words have the zero fingerprint, linked like any
 other; texts shorter than a shingle are one shingle; repeated rows and ids share a component;
 rows with a null id are grouped by their fingerprint but never name a group; an empty table
@@ -228,9 +231,96 @@ def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None =
     return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
 
 
+def verify_tile(tree: list[tuple], asked: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the members within the radius whose sets are similar; members are (name, fp, sorted set)."""
+    every = tree + (asked or [])
+    parent = list(range(len(every)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    bits = np.frombuffer(b"".join(m[1] for m in every), np.uint64).reshape(len(every), -1)
+    links = []
+    for i in range(1 if asked is None else len(tree), len(every)):
+        far = np.bitwise_count(bits[: i if asked is None else len(tree)] ^ bits[i]).sum(axis=1)
+        near = np.flatnonzero(far <= radius)
+        for j in near[np.argsort(far[near], kind="stable")].tolist():
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            x, y = every[i][2], every[j][2]
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both):
+                parent[max(a, b)] = min(a, b)
+                links.append((every[i][0], every[j][0]))
+    return links
+
+
+def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", room: int = 512) -> DataFrame:
+    """``groups`` of a wide radius made exact: doc_id, k1, k2, fp, component_id, grp by links of at least this similarity.
+
+    Only documents in groups of several texts are read again, equal texts once.
+    """
+    spark = docs.sparkSession
+    crowds = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1 and component_id is not null").select("component_id")
+    some = common.table(grouped.join(crowds, "component_id").select("k1", "k2", "fp", F.col("component_id").alias("g")), "candidates")
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+    rows = keyed.join(some.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("g", "k1", "k2", F.xxhash64("text").alias("t"), "fp", "text")
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in part.column(5)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["g", "k1", "k2", "t", "fp", "shingles"])
+
+    sets = common.table(rows.mapInArrow(cut, "g long, k1 long, k2 long, t long, fp binary, shingles binary"), "shingle-sets")
+    members = sets.dropDuplicates(["g", "t"])
+    crowded = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / room).cast("int")
+    mine = F.pmod(F.xxhash64("t"), chunks.cast("long")).cast("int")
+    dealt = members.join(crowded, "g").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("asks"), "t", "fp", "shingles")
+
+    def solve(batches):
+        now, tree, asked = None, [], []
+
+        def close():
+            found = tile_found(now, tree, asked)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+        def tile_found(key, tree, asked):
+            if key is None or len(tree) + len(asked) < 2 or key[1] != key[2] and not (tree and asked):
+                return []
+            return verify_tile(tree, None if key[1] == key[2] else asked, radius, similarity)
+
+        for batch in batches:
+            for g, i, j, asks, t, fp, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != now:
+                    yield close()
+                    now, tree, asked = (g, i, j), [], []
+                (asked if asks else tree).append((t, fp, np.frombuffer(shingles, np.uint64)))
+        yield close()
+
+    tiles = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    found = components(tiles.mapInArrow(solve, "a long, b long")).withColumnRenamed("node", "t")
+    # A group is named by the least id of its texts; texts that nothing is similar to are groups of their own.
+    texts = sets.select("k1", "k2", "t").join(found, "t", "left").select("k1", "k2", F.coalesce("component", "t").alias("c"))
+    named = grouped.join(texts.distinct(), ["k1", "k2"], "left")
+    least = named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    # Ids may repeat, so that two groups bear one name; ``grp`` tells them apart.
+    key = F.when(F.col("c").isNotNull(), F.concat(F.lit("c"), "c")).when(F.col("component_id").isNull(), F.hex("fp")).otherwise(F.concat(F.lit("k"), "k1"))
+    name = F.when(F.col("c").isNull(), F.col("component_id")).otherwise(F.col("least"))
+    return named.join(least, "c", "left").select("doc_id", "k1", "k2", "fp", name.alias("component_id"), key.alias("grp"))
+
+
 def representatives(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of ``groups``: that with the smallest id, of equal rows any one."""
-    group = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))
-    firsts = grouped.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    """One row of docs for each group of ``verified``: that with the smallest id, of equal rows any one."""
+    firsts = grouped.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id_col, text_col))
     return keyed.join(firsts, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("doc.*")

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 import test_decontaminate
 import test_line_runs
-from orweave.llm import common, simhash
+from orweave.llm import common
 from test_simhash import union
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +21,10 @@ def states(spark):
     return [*out, docs]
 
 
+def ascii_words(text):
+    return text.encode().lower().split()
+
+
 def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
@@ -45,13 +49,11 @@ def test_lines(states):
 
 def test_near_copies(states):
     before, after = texts(states[2]), texts(states[3])
-    fps = {i: int.from_bytes(simhash.fingerprint(t.encode(), 5, 256)) for i, t in before.items()}
-    near = simhash.radius_of(0.8, 256)
-    group = union(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= near])
-    assert set(group.values()) <= set(after)  # nothing that stands alone is lost
-    assert len(after) - len(set(group.values())) <= 0.02 * len(before)
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in after.items() if (w := t.lower().split())}
-    assert not [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in before.items() for w in [ascii_words(t)]}
+    similar = [(a, b) for a in sets for b in sets if a < b and (before[a] == before[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    group = union(sets, similar)
+    assert set(group.values()) <= set(after)  # one of each group, nothing that stands alone is lost
+    assert len(after) - len(set(group.values())) <= 0.01 * len(before)
 
 
 def test_leaks(spark, states):

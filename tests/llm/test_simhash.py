@@ -90,3 +90,37 @@ def test_wide_fingerprints_catch_edited_copies(spark):
         rows.append((100 + i, " ".join(b)))
     found = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 256, simhash.radius_of(0.8, 256), 32).collect()}
     assert all(found[i] == i for i in range(40)) and sum(found[100 + i] == i for i in range(40)) >= 39
+
+
+def test_verified_groups_are_those_of_exact_similarity(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    rows, n = [], 0
+    for _ in range(25):
+        base = rng.choices(words, k=200)
+        for _ in range(rng.choice([1, 2, 6])):
+            b = list(base)
+            for at in rng.sample(range(200), rng.choice([0, 1, 3, 5, 8])):
+                b[at] = rng.choice(words)
+            rows.append((n, " ".join(b), 0))
+            n += 1
+    rows += [(3, rows[9][1], 0), (None, rows[0][1], 0), (None, "alone and short", 0), (7000, "", 0), (7001, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    wide = simhash.groups(docs, 5, 256, 70, 48)
+    sets = {}
+    for i, (_, t, _) in enumerate(rows):
+        w = (t or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    same = lambda a, b: (rows[a][1] or "") == (rows[b][1] or "") or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    group = union(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if same(a, b)])
+    want = {}
+    for i, g in group.items():
+        ids = [rows[j][0] for j in group if group[j] == g and rows[j][0] is not None]
+        want.setdefault((rows[i][0], rows[i][1]), min(ids, default=None))
+    for room in (512, 3):
+        found = simhash.verified(docs, wide, 5, 70, 0.8, room=room)
+        got = {(r.doc_id, r.k1): r.component_id for r in found.collect()}
+        by = {(r.doc_id, r.text): got[r.doc_id, r.k1] for r in docs.select("*", *simhash.row_key("doc_id", "text")).collect()}
+        assert by == want and found.count() == len(rows)
+    kept = simhash.representatives(docs, found).collect()
+    assert len(kept) == len(set(group.values()))
