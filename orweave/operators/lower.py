@@ -130,13 +130,17 @@ class Lowering:
             before.append(clause)
         return State(out, true=frozenset({self.root.text}) if self.root else frozenset())
 
-    def run(self, p: nodes.Plan) -> DataFrame:
+    def rows(self, p: nodes.Plan) -> DataFrame:
+        """The joined and filtered rows, with all columns of all tables."""
         s = self.lower(p)
         if self.root and self.root.text not in s.true:
             for clause in clauses(self.root):
                 if clause.text not in s.true:
                     s.frame = s.frame.where(self.condition(clause, s.known))
-        return project(s.frame, self.query, self.settings)
+        return s.frame
+
+    def run(self, p: nodes.Plan) -> DataFrame:
+        return project(self.rows(p), self.query, self.settings)
 
 
 def project(frame: DataFrame, query: Query, settings: Settings) -> DataFrame:

@@ -11,7 +11,7 @@ from orweave.functions import register
 from orweave.plans.workload import Star
 from orweave.sources import read_csv, write_synthetic
 from orweave.sources.imports import parse_schemas
-from orweave.suite import DNF, SPECS
+from orweave.suite import CLAUSES, DNF, JOINS, SPECS, TOTALS
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +120,17 @@ def test_cross_joins_are_opt_in(spark):
     assert {Engine(spark, SF, Config(cross_joins=True)).run(sql, p).first().n for p in ("basic", "tagged_pushdown", "tagged_combined", "basic_disj")} == {59}
 
 
+def test_shared_queries(spark):
+    engine = Engine(spark, SF)
+    queries = [f"{TOTALS} {JOINS} and {c}" for c in CLAUSES]
+    queries.append(f"select o_orderstatus, count(*) as n from customer, orders, lineitem where {JOINS} and l_tax < 0.01 group by o_orderstatus")
+    with pytest.raises(QueryError):
+        engine.run_shared(queries)
+    shared = engine.run_shared(queries[:3])
+    assert [f.collect() for f in shared] == [engine.run(q, "basic").collect() for q in queries[:3]]
+    spark.catalog.clearCache()
+
+
 def test_settings(spark):
     catalog = Catalog(spark)
     catalog.register("t", spark.createDataFrame([("abc", 1), ("", -(2**31)), ("x(voice)y", 3)], "s string, i int"))
