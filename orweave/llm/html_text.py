@@ -45,18 +45,19 @@ DROP_WORDS = frozenset(
 DROP_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related reply respond sponsored teaser".split())
 SOFT_WORDS = frozenset("header side top bottom".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
+#: Names that speak of something else on the page: has-sidebar, no-ads, ad-free.
+ABOUT = re.compile(r"\b(?:has|with|without|no|non|hide|show)[-_][a-z]+|\b[a-z]+[-_]free\b")
 ARTICLE, MAIN, CONTENT, OPEN = 3, 2, 1, 0
 
 
 def _judge(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
     """(is it dropped, what it is: ARTICLE, MAIN, CONTENT or OPEN)."""
-    drop, level, names, words = tag in DROP_TAGS or tag == "header" and not inside, OPEN, "", set()
+    drop, level, words = tag in DROP_TAGS or tag == "header" and not inside, OPEN, set()
     if attributes and not attributes.isspace():
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words.update(re.findall("[a-z]+", value))
-                names += " " + value
+                words.update(re.findall("[a-z]+", ABOUT.sub(" ", value)))
             elif name == "role":
                 drop |= value in DROP_ROLES
                 level = MAIN if value == "main" else ARTICLE if value == "article" else level
@@ -123,7 +124,7 @@ def parse(page: str) -> tuple[int, list[str]]:
             continue
         if block:
             flush()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
+            if stack and (stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag):
                 stack.pop()
                 dropped, level = (stack[-1][1], max(s[2] for s in stack)) if stack else (False, OPEN)
         attributes = m[4]

@@ -18,6 +18,8 @@ CASES = [
     ("<article><p>a<!-- <p>no --><p>b<script>x</article>", ["a", "b"]),
     ("<article>a<span class='ad'>b</span>c <i>d</i></article>", ["a", "c d"]),
     ("<article><p hidden>a</p><p style='display: none'>b</p><table><tr><td>c<td>d</table></article>", ["c", "d"]),
+    ("<article><p class='ad'>buy<div class='content has-ads ad-free'>kept</div><p>b</article>", ["kept", "b"]),
+    ("<div class='wrap'><main class='no-sidebar'><p>a</main><section class='comment-list'><p>c</section></div>", ["a"]),
     ("", []),
     ("<p>plain", ["plain"]),
 ]
