@@ -20,8 +20,10 @@ manifest; further columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -46,17 +48,18 @@ class WordEncoder:
     or a special token occurs) is encoded as a whole. ``room`` bounds the remembered words.
     """
 
-    def __init__(self, path: str, dtype: str, room: int = 300_000):
+    def __init__(self, path: str, dtype: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.model, self.dtype, self.room = (t := Tokenizer.from_file(path)), t.model, dtype, room
+        self.code = "H" if dtype == "<u2" else "I"
         self.special = [a.content for a in t.get_added_tokens_decoder().values()]
         # The byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest follows from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
-
+        self.space = chr(self.alphabet[32])
         encoder = self
 
         class Words(dict):
@@ -74,11 +77,15 @@ class WordEncoder:
         self.words = Words()
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a string that the split pattern keeps in one piece."""
-        return self._pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))])
+        written = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.model.tokenize(written)])
 
     def _word(self, word: str) -> bytes | None:
         """Ids of the word with a space before it; None if the word can't stand alone."""
