@@ -22,6 +22,7 @@ caller's columns travel in one struct.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -169,42 +170,68 @@ def train(docs: DataFrame, order: int = 4, hash_bits: int = 20) -> Model | None:
 
 
 class Scorer:
-    """Scores texts word by word and remembers up to ``room`` words."""
-
-    def __init__(self, model: Model, room: int = 300_000):
-        self.model, self.room, self.index = model, room, {}
-        self.rows, self.symbols = np.zeros((0, len(model.langs))), np.zeros(0, np.int64)
+    """Scores texts word by word and remembers ``room`` words for good and a quarter as many for a while."""
+
+    def __init__(self, model: Model, room: int = 400_000):
+        self.model, self.room, self.late = model, room, {}
+        scorer = self
+
+        class Known(dict):
+            def __missing__(self, word: str) -> int:
+                return scorer.late[word]
+
+        self.known = Known()
+        self.rows, self.symbols = np.zeros((1024, len(model.langs))), np.zeros(1024, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        at = len(self.known) + len(self.late)
+        if at + len(new) > len(self.rows):
+            size = max(2 * len(self.rows), at + len(new))
+            self.rows = np.concatenate([self.rows, np.zeros((size - len(self.rows), self.rows.shape[1]))])
+            self.symbols = np.concatenate([self.symbols, np.zeros(size - len(self.symbols), np.int64)])
+        clean = [letters(w) for w in new]
+        self.rows[at : at + len(new)], self.symbols[at : at + len(new)] = 0, 0
+        some = np.array([i for i, w in enumerate(clean) if w], np.int64)
+        for part in (some[i : i + 20_000] for i in range(0, len(some), 20_000)):
+            self.rows[at + part], self.symbols[at + part] = self.model.log_probabilities([clean[i] for i in part.tolist()])
+        room = max(0, self.room - len(self.known)) if not self.late else 0
+        self.known.update(zip(new[:room], range(at, at + room), strict=False))
+        self.late.update(zip(new[room:], range(at + room, at + len(new)), strict=True))
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """(log probabilities by language, symbols) of each text."""
         split = [t.split() for t in texts]
-        if len(self.index) > self.room:
-            self.__init__(self.model, self.room)
-        new = list(set().union(*split).difference(self.index))
+        if len(self.late) > self.room // 4:
+            self.late.clear()
+        new = list(set().union(*split).difference(self.known).difference(self.late))
         if new:
-            clean = [letters(w) for w in new]
-            some = [i for i, w in enumerate(clean) if w]
-            scores, symbols = np.zeros((len(new), len(self.model.langs))), np.zeros(len(new), np.int64)
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                scores[part], symbols[part] = self.model.log_probabilities([clean[i] for i in part])
-            self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows, self.symbols = np.concatenate([self.rows, scores]), np.concatenate([self.symbols, symbols])
-        where = np.fromiter((x for words in split for x in map(self.index.__getitem__, words)), np.int64, sum(map(len, split)))
+            self._learn(new)
+        where = np.fromiter((x for words in split for x in map(self.known.__getitem__, words)), np.int64, sum(map(len, split)))
         ends = np.cumsum([len(w) for w in split])
         return [(self.rows[w].sum(axis=0), int(self.symbols[w].sum())) for w in np.split(where, ends[:-1])]
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(token: str, model: Model) -> Scorer:
+    """The scorer of a worker process, kept from task to task for as long as the model is the same."""
+    if token not in _scorers:
+        _scorers.clear()
+        _scorers[token] = Scorer(model)
+    return _scorers[token]
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """doc (struct of the input's columns but the text), lang_pred, score, entropy (nats per symbol; null for und)."""
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double").add("entropy", "double")
-    shared = spark.sparkContext.broadcast(model)
+    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(shared.value) if shared.value else None
+        scorer = _scorer(token, shared.value) if shared.value else None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -229,4 +256,5 @@ def identify(docs: DataFrame, training: Column, lang_col: str = "lang", text_col
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.when(learn, F.col(lang_col).cast("string")).alias("known"), F.col(text_col).alias("text"))
     rows = common.table(predict(marked, model, "text"), "languages").select("doc.*", "lang_pred", "score", "entropy")
     limit = rows.where("known = lang_pred").groupBy(F.col("lang_pred").alias("l")).agg(F.percentile_approx("entropy", quantile, 10_000).alias("limit"))
+    limit = F.broadcast(limit)  # one row for each language of the model
     return rows.join(limit, F.col("lang_pred") == F.col("l"), "left").select("doc", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False)).alias("rejected"))

@@ -77,3 +77,13 @@ def test_odd_texts(spark):
     none = langid.identify(docs, F.lit(False)).collect()
     assert {(r.lang_pred, r.score, r.rejected) for r in none} == {("und", 0.0, False)} and len(none) == 7
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_scorer_forgets_without_changing_scores(spark):
+    model = langid.train(spark.createDataFrame([("a", "ab abc"), ("b", "bd bde")], "lang string, text string"))
+    few, many = langid.Scorer(model, room=4), langid.Scorer(model)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abde!", k=3)) for _ in range(20)) for _ in range(3)] + [""]
+        for (x, n), (y, m) in zip(few.batch(texts), many.batch(texts), strict=True):
+            assert n == m and x == pytest.approx(y)
