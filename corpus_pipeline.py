@@ -20,7 +20,7 @@ SIMILARITY, SHINGLE, BITS, RADIUS, TABLES = 0.8, 5, 256, 50, 40
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.classify(docs, common.read(spark, sf_dir, "labels")).where("accepted").select("doc.*")
+    return quality.keep(docs, quality.classify(docs, common.read(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

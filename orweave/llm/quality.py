@@ -13,8 +13,9 @@ document's log odds by the log odds of its path against the global ones.
 
 Defined cases: a null text counts as empty; null sites and languages are sites of their own;
 repeated labels of an id are averaged; without labels of both kinds every document gets the
-share of good labels (0.5 if there are none) and is kept; an empty table gives no rows; the
-input's columns travel in one struct.
+share of good labels (0.5 if there are none) and is kept; an empty table gives no rows; other
+columns are ignored. Judging moves no texts; ``keep`` moves them only if the rejected rows, by
+the hash of their id and text, are too many to be sent to the documents.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def _logit(p: Column) -> Column:
 def classify(
     docs: DataFrame, labels: DataFrame, label: str = "quality", site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, threshold: float = 0.5, training: Column | None = None
 ) -> DataFrame:
-    """doc (struct of the input's columns), evidence, site_prior, path_prior, posterior, accepted.
+    """doc_id, site, path, k1 and k2 (a 128-bit hash of id and text), evidence, site_prior, path_prior, posterior, accepted.
 
     ``training`` may restrict the labels that are used (a condition on ``doc_id``).
     """
@@ -113,19 +114,14 @@ def classify(
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = (known.where(training) if training is not None else known).groupBy("doc_id").agg(F.avg("y").alias("y"))
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    names = {c.lower(): i for i, c in enumerate(docs.columns)}
-    where = names[text_col.lower()]
-
     def measure(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                texts = some.column(1) if some.num_columns > 1 else some.column(0).field(where)
-                values = [features(t if t is None or isinstance(t, bytes) else t.encode()) for t in texts.to_pylist()]
+                values = [features(t) for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(values, pa.list_(pa.float64()))], names=["doc", "x"])
 
-    skinny = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path")).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    skinny = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), *row_key(id_col, text_col)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     seen = common.table(skinny.mapInArrow(measure, skinny.select("doc", F.array(F.lit(0.0)).alias("x")).schema), "features").select("doc.*", "x")
     seen = seen.join(known, F.col("id") == known["doc_id"], "left").drop("doc_id")
 
@@ -159,13 +155,24 @@ def classify(
     both = both.select("site", "path", "s", "n", "q", "site_s", "site_n")
     k_path = strength(both, "s", "n", "q", F.col("site_s") / F.col("site_n"))
 
-    scored = rows.mapInArrow(measure, rows.select("doc", F.array(F.lit(0.0)).alias("x")).schema).select("doc", score("x").alias("evidence"))
-    scored = scored.join(known, F.col("doc").getField(id_col).cast("long") == known["doc_id"], "left").select("doc", "evidence", F.coalesce("y", "evidence").alias("own"))
-    met = scored.join(both, F.col("doc").getField(site_col).cast("string").eqNullSafe(F.col("site")) & F.col("doc").getField(path_col).cast("string").eqNullSafe(F.col("path")))
+    scored = seen.select("id", "site", "path", "k1", "k2", score("x").alias("evidence"), "y").withColumn("own", F.coalesce("y", "evidence"))
+    known_paths = both.select(F.col("site").alias("of_site"), F.col("path").alias("of_path"), "s", "n", "site_s", "site_n")
+    met = scored.join(known_paths, F.col("site").eqNullSafe(F.col("of_site")) & F.col("path").eqNullSafe(F.col("of_path")))
     site_prior = (k_site * mean + F.col("site_s") - F.col("own")) / (k_site + F.col("site_n") - 1)
     path_prior = (k_path * site_prior + F.col("s") - F.col("own")) / (k_path + F.col("n") - 1)
     odds = _logit(F.col("evidence")) + _logit(F.col("path_prior")) - _logit(F.lit(mean))
-    out = met.select("doc", "evidence", site_prior.alias("site_prior"), path_prior.alias("path_prior"))
+    out = met.select(F.col("id").alias("doc_id"), "site", "path", "k1", "k2", "evidence", site_prior.alias("site_prior"), path_prior.alias("path_prior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     keep = F.col("posterior") >= threshold if len(model.edges) else F.lit(True)
     return out.withColumn("accepted", keep)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
+
+
+def keep(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that ``judged``, what ``classify`` says of them, doesn't reject."""
+    rejected = common.table(judged.where(~F.col("accepted")).select("k1", "k2").distinct(), "rejected")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id_col, text_col))
+    return keyed.join(rejected, ["k1", "k2"], "left_anti").select("doc.*")

@@ -57,7 +57,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge the quality of every document from its style, its path and its site."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rows = quality.classify(docs, common.read(spark, sf_dir, "labels"))
-    return rows.select("doc.doc_id", "evidence", "site_prior", "path_prior", "posterior", "accepted")
+    return rows.select("doc_id", "evidence", "site_prior", "path_prior", "posterior", "accepted")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.1"
 def test_held_out_accuracy(spark):
     docs, labels = common.read(spark, SF, "documents"), common.read(spark, SF, "labels")
     train = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
-    rows = quality.classify(docs.join(labels.select("doc_id"), "doc_id"), labels, training=train).select("doc.doc_id", "accepted").where(~train).join(labels, "doc_id").collect()
+    rows = quality.classify(docs.join(labels.select("doc_id"), "doc_id"), labels, training=train).select("doc_id", "accepted").where(~train).join(labels, "doc_id").collect()
     good, bad = [r.accepted for r in rows if r.quality], [r.accepted for r in rows if not r.quality]
     assert len(rows) > 800 and np.mean(good) >= 0.98 and np.mean(bad) <= 0.06
 
@@ -21,18 +21,25 @@ def test_shrinkage_is_the_formula(spark):
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, lang string, evidence double")
     labels = spark.createDataFrame([(i, int("good" in t)) for i, t, *_ in rows[:120]], "doc_id long, quality int")
     found = quality.classify(docs, labels).collect()
-    assert len(found) == len(rows) and all(r.doc.evidence == 1.0 for r in found)
-    own = lambda r: float("good" in r.doc.text) if r.doc.doc_id < 120 else r.evidence
+    assert len(found) == len(rows)
+    text = {i: t for i, t, *_ in rows}
+    own = lambda r: float("good" in text[r.doc_id]) if r.doc_id < 120 else r.evidence
     mean = np.mean([own(r) for r in found])
-    lone = next(r for r in found if r.doc.doc_id == 900)
+    lone = next(r for r in found if r.doc_id == 900)
     assert lone.site_prior == pytest.approx(mean) and lone.path_prior == pytest.approx(mean)  # alone: only the global prior is left
     for r in found:
-        rest = [own(x) for x in found if x.doc.source == r.doc.source and x is not r]
+        rest = [own(x) for x in found if x.site == r.site and x is not r]
         assert min([mean, np.mean(rest or [mean])]) - 1e-9 <= r.site_prior <= max([mean, np.mean(rest or [mean])]) + 1e-9
         logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
         assert r.posterior == pytest.approx(1 / (1 + np.exp(-(logit(r.evidence) + logit(r.path_prior) - logit(mean)))), abs=1e-6)
 
 
+def test_keep_drops_the_rejected_rows_alone(spark):
+    docs = spark.createDataFrame([(1, "a", 7), (1, "b", 7), (None, "b", 7), (1, "a", 8)], "doc_id long, text string, k1 int")
+    judged = docs.select(*quality.row_key("doc_id", "text"), (F.col("text") == "b").alias("accepted"))
+    assert sorted(map(tuple, quality.keep(docs, judged).collect()), key=str) == [(1, "b", 7), (None, "b", 7)]
+
+
 def test_no_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a", "s", "en"), (2, "B!!", "s", "en")], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
