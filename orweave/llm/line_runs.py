@@ -109,7 +109,8 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batc
     common.remove(spark, path)
 
     placed = rows.select("k1", "k2", F.posexplode("lines").alias("pos", "line")).select("k1", "k2", "pos", *_hashes(key(F.col("line"))))
-    drops = placed.join(runs.found(), ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
+    found = common.table(runs.found(), "frequent-lines")  # a table: its size is known, and a hot line's rows can be split
+    drops = placed.join(found, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
     met = rows.join(drops, ["k1", "k2"], "left")
     drop = F.coalesce("drop", F.array().cast("array<int>"))
     n = F.size("lines")
