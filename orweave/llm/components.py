@@ -3,8 +3,8 @@
 Each round hangs every node's larger neighbours onto its smallest neighbour (large star), then
 every node's smaller neighbours onto the smallest of them (small star), until the edges are
 stars around the smallest member of each component. A round is two aggregations and two
-equi-joins; no neighbour list is ever gathered in one row, so a hub with a third of all edges
-is a skewed join at worst, which Spark splits. The edges of a round are a written table.
+equi-joins; no neighbour list is ever gathered in one row. Smallest neighbours and the edges of a
+round are written tables: a hub with a third of all edges is then a skewed join that Spark splits.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a, b), a > b."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = common.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         hung = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = common.table(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
         hung = edges.join(least, "a").select("a", "b", "m")
         hung = hung.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
     return hung.where("a != b").distinct()
