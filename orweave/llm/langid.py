@@ -7,8 +7,11 @@ Spark: raw counts for the highest order and for n-grams at a word's start, numbe
 left neighbours for the others. The model of a language is, for each order, two sorted arrays of
 hashes (n-grams and contexts) with their discounted probabilities and back-off weights.
 
-Size bound: hashes have ``hash_bits`` bits, so a model has at most 2 * order * 2**hash_bits
-entries of 12 bytes, whatever the corpus; only models are collected and broadcast.
+Hashes have 64 bits, so that distinct n-grams stay apart, and a model grows with the n-grams of
+its corpus, 16 bytes each. Up to ``most`` entries are collected and broadcast. A larger model stays
+a table: a symbol's probability depends on nothing but the ``order`` symbols that end with it, its
+window, so the distinct windows of the texts are joined with the model and the texts with the
+windows. Both ways give the same.
 
 A text gets the language with the lowest cross-entropy per symbol; ``score`` is that language's
 posterior. Calibrated rejection: per language, the cross-entropy that all but a thousandth of
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def grams(words: list[str], order: int, hash_bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(words: list[str], order: int, hash_bits: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each order k: keys of the k-grams, of their suffixes (k - 1) and contexts (k - 1), and the index of their word.
 
     One k-gram for each predicted symbol that has k - 1 symbols before it in its word; words have letters only.
@@ -113,6 +117,8 @@ class Model:
     hash_bits: int
     symbols: int
     tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: lang, k (negative: contexts), key, value of a model too large to collect; ``tables`` is empty then.
+    stored: DataFrame | None = None
 
     def log_probabilities(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of log probabilities by word and language, number of predicted symbols by word)."""
@@ -136,12 +142,13 @@ class Model:
 
 
 def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    j = np.minimum(np.searchsorted(keys, asked.astype(np.uint32)), len(keys) - 1)
+    asked = asked.view(np.int64)
+    j = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return keys[j] == asked, j
 
 
-def train(docs: DataFrame, order: int = 4, hash_bits: int = 20) -> Model | None:
-    """Models of every language among the rows (lang, text); None without any letter."""
+def train(docs: DataFrame, order: int = 4, hash_bits: int = 64, most: int = 8_000_000) -> Model | None:
+    """Models of every language among the rows (lang, text); None without any letter. Over ``most`` entries: a table."""
     seen = common.table(count_grams(docs, order, hash_bits), "grams")
     # The count of an n-gram: raw at the highest order and at a word's start, else distinct left neighbours.
     left = seen.groupBy("lang", (F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(F.count("*").alias("left"))
@@ -156,17 +163,22 @@ def train(docs: DataFrame, order: int = 4, hash_bits: int = 20) -> Model | None:
     contexts = counts.groupBy("lang", "k", "context").agg(F.sum("n").alias("all"), F.sum("d").alias("mass"))
     probs = counts.join(contexts, ["lang", "k", "context"]).groupBy("lang", "k", F.col("gram").alias("key")).agg(F.max((F.col("n") - F.col("d")) / F.col("all")).alias("value"))
     weights = contexts.select("lang", (-F.col("k")).alias("k"), F.col("context").alias("key"), F.col("mass") / F.col("all"))
-    got = probs.unionByName(weights.toDF("lang", "k", "key", "value")).toArrow()
-    if not got.num_rows:
+    stored = common.table(probs.unionByName(weights.toDF("lang", "k", "key", "value")), "language-models")
+    sizes = {(r.lang, r.k): r["count"] for r in stored.groupBy("lang", "k").count().collect()}
+    if not sizes:
         return None
+    langs = sorted({x for x, _ in sizes})
+    symbols = max(sizes.get((x, 1), 1) for x in langs) + 1
+    if sum(sizes.values()) > most:
+        return Model(langs, order, hash_bits, symbols, {}, stored)
+    got = stored.toArrow()
     got = got.sort_by([("lang", "ascending"), ("k", "ascending"), ("key", "ascending")])
-    lang, k = np.array(got["lang"].to_pylist()), got["k"].to_numpy()
-    key, value = got["key"].to_numpy().astype(np.uint32), got["value"].to_numpy().astype(np.float64)
-    langs = sorted(set(lang.tolist()))
-    part = lambda name, n: (key[m := (lang == name) & (k == n)], value[m])
-    blank = (np.zeros(1, np.uint32), np.zeros(1)), (np.zeros(1, np.uint32), np.ones(1))
+    lang, k = pc.index_in(got["lang"], pa.array(langs)).to_numpy(), got["k"].to_numpy()
+    key, value = got["key"].to_numpy(), got["value"].to_numpy().astype(np.float64)
+    part = lambda name, n: (key[m := (lang == langs.index(name)) & (k == n)], value[m])
+    blank = (np.zeros(1, np.int64), np.zeros(1)), (np.zeros(1, np.int64), np.ones(1))
     tables = {(x, n): (*(part(x, n) if len(part(x, n)[0]) else blank[0]), *(part(x, -n) if len(part(x, -n)[0]) else blank[1])) for x in langs for n in range(1, order + 1)}
-    return Model(langs, order, hash_bits, max(len(t[0]) for (_, n), t in tables.items() if n == 1) + 1, tables)
+    return Model(langs, order, hash_bits, symbols, tables)
 
 
 class Scorer:
@@ -222,12 +234,94 @@ def _scorer(token: str, model: Model) -> Scorer:
     return _scorers[token]
 
 
+def _judge(langs: list[str], logs: np.ndarray, n: int) -> tuple[str, float, float]:
+    best = int(np.argmax(logs))
+    return langs[best], float(1 / np.exp(logs - logs[best]).sum()), float(-logs[best] / n)
+
+
+def windows(text: str, order: int) -> Counter:
+    """The windows of a text's symbols, each up to ``order`` symbols of one word, with their numbers."""
+    out: Counter = Counter()
+    for word, times in Counter(map(letters, text.split())).items():
+        if word:
+            p = OPEN + word + CLOSE
+            for end in range(2, len(p) + 1):
+                out[p[max(0, end - order) : end]] += times
+    return out
+
+
+def _keys(window: str, order: int, hash_bits: int) -> list[tuple[int, int]]:
+    """(k, key) of the n-grams that end a window and (-k, key) of their contexts, as ``grams`` has them."""
+    inner = window.strip(OPEN + CLOSE)
+    # A window without a start symbol, read as a word, has one in front, which only longer n-grams reach.
+    parts = grams([inner], order, hash_bits)
+    at = len(inner) - (not window.endswith(CLOSE))
+    out = []
+    for k, (g, _, c, _) in enumerate(parts[: len(window)], 1):
+        i = at - max(0, k - 2)
+        out += [(k, int(g.view(np.int64)[i])), (-k, int(c.view(np.int64)[i]))]
+    return out
+
+
+def _predict_stored(rows: DataFrame, model: Model, schema) -> DataFrame:
+    """``predict`` by joins; rows are (doc, text)."""
+    langs, order, hash_bits, symbols = model.langs, model.order, model.hash_bits, model.symbols
+    rows = common.table(rows.withColumn("row", F.monotonically_increasing_id()), "language-rows")
+
+    def cut(batches):
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found := windows((text or b"").decode("utf-8", "replace"), order):
+                    # Surrogates can't occur: the text was decoded with replacement.
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(found)), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["row", "win", "n"])
+
+    bags = common.table(rows.select("row", "text").mapInArrow(cut, "row long, win string, n long"), "language-windows")
+
+    def slots(batches):
+        for batch in batches:
+            wins = batch.column(0).to_pylist()
+            found = [(w, k, key) for w in wins for k, key in _keys(w, order, hash_bits)]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["win", "k", "key"])
+
+    asked = bags.select("win").distinct().mapInArrow(slots, "win string, k int, key long")
+    met = asked.join(model.stored, ["k", "key"], "left").groupBy("win").agg(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "k", "value"))).alias("met"))
+    number = {x: i for i, x in enumerate(langs)}
+
+    def weigh(batches):
+        for batch in batches:
+            out = []
+            for found in batch.column(1).to_pylist():
+                add, keep = np.zeros((order + 1, len(langs))), np.ones((order + 1, len(langs)))
+                for x in found:
+                    (add if x["k"] > 0 else keep)[abs(x["k"]), number[x["lang"]]] = x["value"]
+                p = np.full(len(langs), 1.0 / symbols)
+                for k in range(1, order + 1):
+                    p = p * keep[k] + add[k]
+                out.append(np.log(p).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["win", "logs"])
+
+    priced = common.table(met.mapInArrow(weigh, "win string, logs array<double>"), "window-prices")
+    sums = [F.sum(F.col("n") * F.col("logs")[i]).alias(f"s{i}") for i in range(len(langs))]
+    totals = bags.join(priced, "win").groupBy("row").agg(F.sum("n").alias("n"), *sums).select("row", "n", F.array(*[f"s{i}" for i in range(len(langs))]).alias("logs"))
+
+    def judge(batches):
+        for batch in batches:
+            found = [(UNKNOWN, 0.0, None) if not n else _judge(langs, np.array(logs), n) for n, logs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["doc", "lang_pred", "score", "entropy"])
+
+    return rows.select("doc", "row").join(totals, "row", "left").select("doc", "n", "logs").mapInArrow(judge, schema)
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """doc (struct of the input's columns but the text), lang_pred, score, entropy (nats per symbol; null for und)."""
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double").add("entropy", "double")
+    if model and model.stored is not None:
+        return _predict_stored(rows, model, schema)
     shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
@@ -241,18 +335,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     if not n:
                         found.append((UNKNOWN, 0.0, None))
                         continue
-                    best = int(np.argmax(logs))
-                    found.append((scorer.model.langs[best], float(1 / np.exp(logs - logs[best]).sum()), float(-logs[best] / n)))
+                    found.append(_judge(scorer.model.langs, logs, n))
                 cols = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["doc", "lang_pred", "score", "entropy"])
 
     return rows.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str = "text", order: int = 4, quantile: float = 0.999) -> DataFrame:
+def identify(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str = "text", order: int = 4, quantile: float = 0.999, most: int = 8_000_000) -> DataFrame:
     """Learn from the rows where ``training`` holds and predict all rows: doc, lang_pred, score, entropy, rejected."""
     learn = F.coalesce(training & F.col(lang_col).isNotNull(), F.lit(False))
-    model = train(docs.where(learn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), order)
+    model = train(docs.where(learn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), order, most=most)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.when(learn, F.col(lang_col).cast("string")).alias("known"), F.col(text_col).alias("text"))
     rows = common.table(predict(marked, model, "text"), "languages").select("doc.*", "lang_pred", "score", "entropy")
     limit = rows.where("known = lang_pred").groupBy(F.col("lang_pred").alias("l")).agg(F.percentile_approx("entropy", quantile, 10_000).alias("limit"))

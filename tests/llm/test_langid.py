@@ -87,3 +87,30 @@ def test_scorer_forgets_without_changing_scores(spark):
         texts = [" ".join("".join(rng.choices("abde!", k=3)) for _ in range(20)) for _ in range(3)] + [""]
         for (x, n), (y, m) in zip(few.batch(texts), many.batch(texts), strict=True):
             assert n == m and x == pytest.approx(y)
+
+
+def test_keys_of_the_default_model_stay_apart(spark):
+    """Production setting: as many n-grams as there are distinct ones, and unseen ones find nothing."""
+    rng = random.Random(3)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    texts = [" ".join("".join(rng.choices(signs, k=6)) for _ in range(4000)) for _ in range(12)]
+    model = langid.train(spark.createDataFrame([("zh", t) for t in texts], "lang string, text string"))
+    distinct = {w[i : i + 4] for t in texts for x in t.split() for w in ["\x02" + x + "\x03"] for i in range(len(w) - 3)}
+    keys = model.tables["zh", 4][0]
+    assert len(keys) == len(distinct)
+    unseen = ["".join(rng.choices(signs, k=4)) for _ in range(3000)]
+    asked = langid.grams([w for w in unseen if w not in distinct], 4)[3][0]
+    assert not langid._find(keys, asked)[0].any()
+
+
+def test_a_model_too_large_to_broadcast_predicts_the_same(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = common.read(spark, sf, "documents").select("doc_id", "lang", "text")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "en", ""), (-3, None, "12 ?"), (-4, "en", "a I 漢字 É'É"), (-4, "en", "a I 漢字 É'É")], docs.schema)
+    docs = docs.unionByName(odd)
+    by = lambda most: sorted(langid.identify(docs, F.col("doc_id") % 4 != 2, most=most).select("doc.doc_id", "lang_pred", "score", "entropy", "rejected").collect(), key=lambda r: r.doc_id)
+    few, many = by(1), by(8_000_000)
+    assert len(few) == len(many) == docs.count()
+    for a, b in zip(few, many, strict=True):
+        assert (a.doc_id, a.lang_pred, a.rejected) == (b.doc_id, b.lang_pred, b.rejected)
+        assert a.score == pytest.approx(b.score, rel=1e-6) and a.entropy == (b.entropy and pytest.approx(b.entropy))
