@@ -232,7 +232,11 @@ def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None =
 
 
 def verify_tile(tree: list[tuple], asked: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the members within the radius whose sets are similar; members are (name, fp, sorted set)."""
+    """A spanning forest of all members whose sets are similar; members are (name, fp, sorted set).
+
+    Fingerprints only order the work: pairs within the radius are compared first, and what these leave unconnected by
+    the numbers of shared shingles, from postings of the tile.
+    """
     every = tree + (asked or [])
     parent = list(range(len(every)))
 
@@ -243,21 +247,40 @@ def verify_tile(tree: list[tuple], asked: list[tuple] | None, radius: int, simil
         return x
 
     bits = np.frombuffer(b"".join(m[1] for m in every), np.uint64).reshape(len(every), -1)
-    links = []
+    sizes = np.array([len(m[2]) for m in every])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    links, index = [], None
+
+    def link(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((every[i][0], every[j][0]))
+
+    def postings():
+        _, ids = np.unique(np.concatenate([m[2] for m in every]), return_inverse=True)
+        order = np.argsort(ids, kind="stable")
+        return ids, np.repeat(np.arange(len(every)), sizes)[order], np.concatenate([[0], np.cumsum(np.bincount(ids))])
+
     for i in range(1 if asked is None else len(tree), len(every)):
-        far = np.bitwise_count(bits[: i if asked is None else len(tree)] ^ bits[i]).sum(axis=1)
-        near = np.flatnonzero(far <= radius)
+        upto = i if asked is None else len(tree)
+        fits = np.minimum(sizes[:upto], sizes[i]) >= similarity * np.maximum(sizes[:upto], sizes[i])
+        far = np.bitwise_count(bits[:upto] ^ bits[i]).sum(axis=1)
+        near = np.flatnonzero(fits & (far <= radius))
         for j in near[np.argsort(far[near], kind="stable")].tolist():
-            a, b = find(i), find(j)
-            if a == b:
-                continue
-            x, y = every[i][2], every[j][2]
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= similarity * (len(x) + len(y) - both):
-                parent[max(a, b)] = min(a, b)
-                links.append((every[i][0], every[j][0]))
+            if find(i) != find(j):
+                both = len(np.intersect1d(every[i][2], every[j][2], assume_unique=True))
+                if both >= similarity * (sizes[i] + sizes[j] - both):
+                    link(i, j)
+        rest = [j for j in np.flatnonzero(fits & (far > radius)).tolist() if find(i) != find(j)]
+        if rest:
+            index = index or postings()
+            mine = index[0][starts[i] : starts[i + 1]]
+            n = index[2][mine + 1] - index[2][mine]
+            at = np.repeat(index[2][mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(index[1][at], minlength=len(every))[rest]
+            for j in np.array(rest)[both >= similarity * (sizes[i] + sizes[rest] - both)].tolist():
+                link(i, j)
     return links
 
 

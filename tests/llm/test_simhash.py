@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from orweave.llm import simhash
 from orweave.llm.components import components
@@ -124,3 +125,20 @@ def test_verified_groups_are_those_of_exact_similarity(spark):
         assert by == want and found.count() == len(rows)
     kept = simhash.representatives(docs, found).collect()
     assert len(kept) == len(set(group.values()))
+
+
+def test_a_tile_links_similar_sets_whatever_their_fingerprints():
+    rng = np.random.default_rng(11)
+    members = []
+    for g in range(12):
+        base = rng.choice(2**62, 50, replace=False).astype(np.uint64)
+        for n in (50, 45, 41, 40, 30):
+            members.append((len(members), rng.bytes(32), np.sort(base[:n])))
+    members += [(len(members) + i, rng.bytes(32), np.empty(0, np.uint64)) for i in range(2)]
+    sets = [set(m[2].tolist()) for m in members]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if similar(a, b)]
+    assert union(range(len(sets)), simhash.verify_tile(members, None, 50, 0.8)) == union(range(len(sets)), pairs)
+    tree, asked = members[::2], members[1::2]
+    across = [(a, b) for a, b in pairs if a % 2 != b % 2]
+    assert union(range(len(sets)), simhash.verify_tile(tree, asked, 50, 0.8)) == union(range(len(sets)), across)
