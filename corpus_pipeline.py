@@ -14,8 +14,8 @@ from orweave.llm import common, decontaminate, line_runs, quality, sentence_piec
 from orweave.llm.queries import PIECE_FILE, _tokenizer
 
 #: Near copies: five-word shingles, Jaccard similarity 0.8. Candidates: 256-bit fingerprints within RADIUS that agree on one
-#: of TABLES blocks of 16 bits; a pair at 0.8 differs in 39 bits on average, with a standard deviation of 6.
-SIMILARITY, SHINGLE, BITS, RADIUS, TABLES = 0.8, 5, 256, 50, 40
+#: of TABLES blocks of 16 bits, and texts that agree on one of BANDS MinHash bands, which a pair at 0.8 does but for a chance of 7e-6.
+SIMILARITY, SHINGLE, BITS, RADIUS, TABLES, BANDS = 0.8, 5, 256, 50, 40, 30
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    wide = common.table(simhash.groups(docs, SHINGLE, BITS, RADIUS, TABLES), "wide-groups")
+    wide = common.table(simhash.groups(docs, SHINGLE, BITS, RADIUS, TABLES, bands=BANDS), "wide-groups")
     return simhash.representatives(docs, simhash.verified(docs, wide, SHINGLE, RADIUS, SIMILARITY))
 
 

@@ -13,6 +13,10 @@ Shards that hold more than ``room`` members are dealt out as tiles, each pair of
 and its queries, so no task holds more than two chunks. A tile reports a spanning forest of its
 links, never its pairs, and the components of all forests are the groups.
 
+``groups`` with ``bands`` links by MinHash besides, for Jaccard similarity of shingle sets: a band is the hash of ``ROWS``
+minima, texts that agree on a band are linked, and fingerprints then count every distinct shingle once. A pair of
+similarity s agrees on none of b bands with chance (1 - s**ROWS)**b, whatever the length of its texts.
+
 ``verified`` makes such groups exact: members of a group with a wide radius are compared by the
 Jaccard similarity of their shingle sets, again by tiles that report forests.
 
@@ -36,6 +40,8 @@ from orweave.llm import common
 from orweave.llm.components import components
 
 SEED = 42
+#: Minima in each MinHash band.
+ROWS = 5
 
 
 def _mixed(h: np.ndarray, round_: int) -> np.ndarray:
@@ -61,7 +67,10 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, k: int, bits: int = 64) -> bytes:
     """The fingerprint, big-endian."""
-    hashes = shingle_hashes(text, k)
+    return fingerprint_of(shingle_hashes(text, k), bits)
+
+
+def fingerprint_of(hashes: np.ndarray, bits: int) -> bytes:
     ones = np.zeros(bits, np.int64)
     for at in range(0, len(hashes), 16384):
         h = hashes[at : at + 16384]
@@ -70,22 +79,44 @@ def fingerprint(text: bytes | None, k: int, bits: int = 64) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def band_keys(shingles: np.ndarray, bands: int) -> list[int]:
+    """The MinHash bands of a shingle set; none of an empty set."""
+    if not len(shingles):
+        return []
+    rng = np.random.default_rng(SEED)
+    factors, shifts = rng.integers(0, 2**63, (2, bands * ROWS, 1)).astype(np.uint64)
+    least = np.full(bands * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        # Mixed first, and the high bits last, so that minima of different rows are independent.
+        h = _mixed(shingles[at : at + 4096], 1) * (2 * factors + np.uint64(1)) + shifts
+        least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=1))
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in least.reshape(bands, ROWS).T:
+        out = _mixed(out ^ row, 2)
+    return out.view(np.int64).tolist()
+
+
 def row_key(id_col: str, text_col: str) -> list:
     return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
 
 
-def fingerprints(docs: DataFrame, k: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k1 and k2 (a 128-bit hash of id and text), fp (binary) of every row."""
+def fingerprints(docs: DataFrame, k: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", bands: int = 0) -> DataFrame:
+    """doc_id, k1 and k2 (a 128-bit hash of id and text), fp (binary) of every row; with ``bands`` its band keys too."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([fingerprint(t.as_py(), k, bits) for t in some.column(3)], pa.binary())], names=["doc_id", "k1", "k2", "fp"])
+                if bands:
+                    sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in some.column(3)]
+                    fps, more = [fingerprint_of(x, bits) for x in sets], [pa.array([band_keys(x, bands) for x in sets], pa.list_(pa.int64()))]
+                else:
+                    fps, more = [fingerprint(t.as_py(), k, bits) for t in some.column(3)], []
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(fps, pa.binary()), *more], names=["doc_id", "k1", "k2", "fp", *["bands"] * len(more)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp binary")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp binary" + (", bands array<long>" if bands else ""))
 
 
 class BKTree:
@@ -222,11 +253,19 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None = None, block_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None = None, block_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", bands: int = 0) -> DataFrame:
     """doc_id, k1, k2, fp, component_id (the smallest id of the group) of every row."""
-    rows = common.table(fingerprints(docs, k, bits, id_col, text_col), "fingerprints")
+    rows = common.table(fingerprints(docs, k, bits, id_col, text_col, bands), "fingerprints")
     members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "members")
-    found = components(links(members.where("rep is not null"), bits, radius, tables, block_bits))
+    edges = links(members.where("rep is not null"), bits, radius, tables, block_bits)
+    if bands:
+        # Equal fingerprints are one member, whatever their sets: the bands of all its texts count.
+        banded = rows.select("fp", "bands").distinct().join(members.where("rep is not null"), "fp").select("rep", F.explode("bands").alias("band"))
+        banded = common.table(banded, "bands")
+        stars = banded.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most").select("band", "b")
+        stars = common.table(stars, "shared-bands")
+        edges = edges.unionByName(banded.join(stars, "band").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
+    found = components(edges)
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
 

@@ -1,5 +1,6 @@
 """Each stage against brute force, on its own input."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -66,3 +67,22 @@ def test_encoding(spark, states):
     last = states[5].collect()
     assert {r.doc_id for r in last} == set(texts(states[4])) and all(r.round_trip and len(r.ids) == r.n_pieces for r in last)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in last}
+
+
+def test_pairs_at_the_limit_are_found_at_the_production_constants(spark):
+    """Joint recall of candidates and verification at Jaccard 0.8, for short and long texts and for repeated passages."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijkl", k=7)) for _ in range(60_000)]
+    rows, pairs = [], 0
+    for n, times in ((5, 300), (40, 150), (200, 60), (900, 15)):  # shingles
+        for _ in range(times):
+            w = rng.choices(words, k=n + 4)
+            rows += [" ".join(w), " ".join(w[: len(w) - n // 5])]
+            pairs += 1
+    for _ in range(40):
+        w = rng.choices(words, k=304)
+        rows += [" ".join(w), " ".join(w[:100] + w[100:130] * 6 + w[130:])]
+        pairs += 1
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()
+    assert len(kept) == pairs and {r.doc_id for r in kept} == set(range(0, 2 * pairs, 2))
