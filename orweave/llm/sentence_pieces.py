@@ -15,8 +15,8 @@ costs least can take part in the N best of a text, and A-star runs on those alon
 Texts are read as the model's identity normalizer does: spaces become word marks, one is put in
 front. ``decode`` gives the text back exactly, unless it holds the word mark itself.
 
-Defined cases: null and empty texts have one empty segmentation of score 0; ties are ordered by
-pieces from the end; repeated rows stay; an empty table gives no rows; the input's columns travel
+Defined cases: null and empty texts have one empty segmentation of score 0; of equally good
+best segmentations the one with the earliest start of its last pieces is first, other ties are ordered by pieces from the end; repeated rows stay; an empty table gives no rows; the input's columns travel
 in one struct.
 """
 
@@ -193,6 +193,12 @@ class Pieces:
                 heapq.heappush(queue, (-(fore[start] + s + score), tail + ids[::-1], start, score + s))
         return found
 
+    def ranked(self, segment: str, best: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """``nbest`` with the path of ``solve`` in front: where several are best, it may stand anywhere among them, or behind the n."""
+        first = tuple(np.frombuffer(best, self.width).tolist())
+        found = self.nbest(segment, n)
+        return [(found[0][0], first), *[x for x in found if x[1] != first][: n - 1]]
+
     def encode(self, text: str, n: int) -> tuple[bytes, int, list[float], list[tuple[tuple[int, int], ...]], list[int]]:
         """(ids of the best, number of them, the n best scores, their deviations (segment, rank), segment numbers)."""
         if len(self.late) > self.room // 4:
@@ -216,7 +222,7 @@ class Pieces:
             if parts[i] not in self.several:
                 if len(self.several) > self.room // 10:
                     self.several.clear()
-                self.several[parts[i]] = self.nbest(parts[i], n)
+                self.several[parts[i]] = self.ranked(parts[i], self.ids[where[i]], n)
             ranks = self.several[parts[i]]
             costs = [(ranks[0][0] - s, ((i, k),) if k else ()) for k, (s, _) in enumerate(ranks)]
             ways = heapq.nsmallest(n, ((c + d, w + x) for c, w in ways for d, x in costs))

@@ -57,3 +57,24 @@ def test_frame(spark):
         assert r.variants_crc32[0] == zlib.crc32(np.array(r.ids, "<u2").tobytes()) and len(r.scores) == len(r.variants_crc32)
     assert found[9].ids == [] and found[9].scores == [0.0]
     assert sp.encode(spark.createDataFrame([], "text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 4])
+@pytest.mark.parametrize("text", ["ingered", "lingered", "a ingered, ingered"])
+def test_variants_of_tied_words_are_distinct_and_the_best(text, n):
+    m = sp.Pieces(PATH)
+    want = every_path(m, text)
+    best, _, scores, ways, where = m.encode(text, n)
+    found = [tuple(np.frombuffer(v, m.width).tolist()) for v in m.variants(text, best, where, ways)]
+    assert len(set(found)) == len(found) == min(n, len(want))
+    by = {ids: s for s, ids in want}
+    assert [by[f] for f in found] == pytest.approx([s for s, _ in want[:n]]) == scores
+
+
+def test_segments_tied_in_two_orders_keep_both_best():
+    """[297, 1097, 286] and [297, 490, 893] of 'ingered' are equally good."""
+    m = sp.Pieces(PATH)
+    best = m.solve(sp.MARK + "ingered")[0]
+    ranked = m.ranked(sp.MARK + "ingered", best, 4)
+    assert ranked[0][1] == tuple(np.frombuffer(best, m.width).tolist()) and len({ids for _, ids in ranked}) == 4
+    assert {ids for s, ids in ranked if s == pytest.approx(ranked[0][0])} >= {(297, 1097, 286), (297, 490, 893)}
