@@ -3,8 +3,9 @@
 Trees: at each level a tree projects vectors on one random direction and splits every node at
 the median of a sample (at most ``sample`` vectors, those with the least hash; below its reach
 at 0). A vector whose projection is within ``spill`` of the split goes to both sides, so close
-vectors are rarely parted, and a second and third tree catch those that were. Every vector is
-indexed. A node that spills nearly everything stays a leaf.
+vectors are rarely parted, and the other trees catch those that were: a projection of a distance d
+is d / sqrt(dimension) wide, so the spill is half of that at the threshold, and as more levels part
+more pairs, there are more trees the deeper they are. Every vector is indexed. A node that spills nearly everything stays a leaf.
 
 Leaves: all vectors of one leaf and one label are compared in double precision. Leaves over
 ``room`` vectors are dealt out as tiles, each pair of chunks one tile, so no task holds more than
@@ -40,6 +41,17 @@ def directions(dim: int, trees: int, depth: int) -> np.ndarray:
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
+def shape(most: int, leaf: int) -> tuple[int, int]:
+    """(trees, depth) for that many vectors of a label."""
+    depth = min(20, max(0, math.ceil(math.log(max(1, most) / leaf) / math.log(1 / 0.6)))) if most else 0
+    return 3 + math.ceil(0.3 * depth), depth
+
+
+def spill_of(threshold: float, dim: int) -> float:
+    """Half of the expected size of the projection of the distance at the threshold."""
+    return 0.5 * math.sqrt((2 - 2 * threshold) / max(1, dim))
+
+
 def units(raw: list[bytes], dtype: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -131,12 +143,12 @@ def tile(code: int, a: np.ndarray, b: np.ndarray | None, codes_a: list, codes_b:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.93, trees: int = 3, leaf: int = 256, room: int = 512, sample: int = 32_768, spill: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, threshold: float = 0.93, trees: int | None = None, leaf: int = 256, room: int = 512, sample: int = 32_768, spill: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row. ``spill``: by default 0.08 of the distance at the threshold."""
+    """vec_id, n_links, component_id, kept of every row. ``trees`` and ``spill``: by default as ``shape`` and ``spill_of`` say."""
     spark = vectors.sparkSession
     common.ship(spark)
-    spill = 0.08 * math.sqrt(2 - 2 * threshold) if spill is None else spill
+    wide = lambda dim: spill_of(threshold, dim) if spill is None else spill
     single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
     dtype, kind, width = ("<f4", "float", 4) if single else ("<f8", "double", 8)
     v = F.col(vector_col).cast(f"array<{kind}>")
@@ -157,12 +169,13 @@ def near_duplicates(
     members = common.table(groups.select("h1", "space", "rep", "copies", "v").mapInArrow(pack, "h1 long, h2 long, rep long, copies long, raw binary").withColumnRenamed("h2", "space"), "vectors")
 
     most = members.groupBy("space").count().agg(F.max("count")).first()[0] or 0
-    depth = min(20, max(0, math.ceil(math.log(max(1, most) / leaf) / math.log(1 / 0.6)))) if most else 0
+    by_depth, depth = shape(most, leaf)
+    trees = trees or by_depth
     chosen: dict[int, list[bytes]] = {}
     for raw in members.orderBy("h1").limit(sample).select("raw").toArrow()["raw"].to_pylist():
         chosen.setdefault(len(raw) // width, []).append(raw)
-    splits = {dim: fit(units(raw, dtype), dim, trees, depth, spill) for dim, raw in chosen.items()}
-    plain = fit(np.zeros((0, 1)), 1, trees, depth, spill)
+    splits = {dim: fit(units(raw, dtype), dim, trees, depth, wide(dim)) for dim, raw in chosen.items()}
+    plain = fit(np.zeros((0, 1)), 1, trees, depth, wide(1))
     shared = spark.sparkContext.broadcast((splits, plain))
 
     def index(batches):
@@ -175,7 +188,7 @@ def near_duplicates(
             for size, some in by.items():
                 for at in range(0, len(some), 1024):
                     part = some[at : at + 1024]
-                    row, code = leaves(units([raw[i] for i in part], dtype), known.get(size // width, other), depth, spill)
+                    row, code = leaves(units([raw[i] for i in part], dtype), known.get(size // width, other), depth, wide(size // width))
                     ends = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
                     codes = code.tolist()
                     lists = [codes[ends[i] : ends[i + 1]] for i in range(len(part))]

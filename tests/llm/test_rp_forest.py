@@ -65,3 +65,26 @@ def test_copies_ties_and_empty_table(spark):
     found = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rp_forest.near_duplicates(frame).collect())
     assert found == [(0, 0, 0, True), (3, 0, 3, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (9, 0, 9, True)]
     assert rp_forest.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+@pytest.mark.parametrize("n", [60_000, 300_000])
+def test_recall_of_the_production_forest(n, dim):
+    """Pairs of cosine 0.93 to 0.95 (by construction, as brute force has them) that share a leaf; a third of the rows are one hot group."""
+    rng, threshold, m = np.random.default_rng(5), 0.93, 4000
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows, hot = unit(rng.standard_normal((n, dim))), n // 3
+    rows[:hot] = unit(0.85 * unit(rng.standard_normal(dim)) + np.sqrt(1 - 0.85**2) * rows[:hot])
+    pick = np.concatenate([rng.choice(hot, m // 2, replace=False), hot + rng.choice(n - hot, m // 2, replace=False)])
+    side = rng.standard_normal((m, dim))
+    side = unit(side - (side * rows[pick]).sum(1)[:, None] * rows[pick])
+    cosine = rng.uniform(threshold, threshold + 0.02, m)[:, None]
+    mates = cosine * rows[pick] + np.sqrt(1 - cosine**2) * side
+    trees, depth = rp_forest.shape(n, 256)
+    spill = rp_forest.spill_of(threshold, dim)
+    splits = rp_forest.fit(rows[rng.choice(n, 32_768, replace=False)], dim, trees, depth, spill)
+    ours, theirs = (set(zip(*(x.tolist() for x in rp_forest.leaves(v, splits, depth, spill)), strict=True)) for v in (rows[pick], mates))
+    met = {i for i, _ in ours & theirs}
+    recall = [sum(i < m // 2 for i in met) / (m // 2), sum(i >= m // 2 for i in met) / (m // 2)]
+    print(n, dim, trees, depth, "recall hot, others", recall)
+    assert min(recall) >= 0.998
