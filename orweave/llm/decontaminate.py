@@ -5,7 +5,11 @@ The corpus is indexed in segments: each task turns its documents, some at a time
 end) and answers all windows from them. A window's candidates are the postings of its rarest
 term in the segment, shifted by the term's offset; they are intersected with the shifted
 postings of its other terms, from rare to frequent, until the window's exact occurrences remain.
-``near`` asks the same postings for proximity: all distinct terms of an item within so many words.
+``nearby`` asks postings for proximity: all distinct terms of an item within so many words, so that
+inserted and swapped words hide nothing.
+
+Postings hold test terms alone, so they differ from block to block of the test set; they are made
+in each pass and not stored.
 
 Terms are the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. The
 test set travels to the segments in blocks of at most ``block_words`` words, however large it is;
@@ -100,13 +104,17 @@ class Segment:
         lists = [self.postings(t) for t in set(terms)]
         if not lists or not all(map(len, lists)):
             return []
-        out = []
-        for last in np.unique(np.concatenate(lists)):
-            at = [p[i - 1] if (i := np.searchsorted(p, last, "right")) else -1 for p in lists]
-            first = min(at)
-            same = np.searchsorted(self.starts, first, "right") == np.searchsorted(self.starts, last, "right")
-            if first >= 0 and same and last - first < within and last in at:
-                out.append((int(first), int(last)))
+        rare = min(lists, key=len)
+        last = np.unique(np.concatenate(lists))
+        i = np.searchsorted(rare, last, "right") - 1
+        last = last[(i >= 0) & (last - rare[i] < within)]  # a span holds the rarest term
+        first = last
+        for p in lists:
+            i = np.searchsorted(p, last, "right") - 1
+            first = np.minimum(first, np.where(i >= 0, p[i], -1))
+        same = np.searchsorted(self.starts, first, "right") == np.searchsorted(self.starts, last, "right")
+        ok = (first >= 0) & same & (last - first < within)
+        out = list(zip(first[ok].tolist(), last[ok].tolist(), strict=True))
         return [s for i, s in enumerate(out) if not any(s[0] <= x <= y <= s[1] and (x, y) != s for x, y in out[max(0, i - 1) : i + 2])]
 
 
@@ -148,6 +156,18 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int):
     yield block
 
 
+def _segments(texts):
+    """(first, end) of the documents of each segment of a batch."""
+    at = 0
+    while at < len(texts):
+        to, room = at, SEGMENT_WORDS * 6
+        while to < len(texts) and (room > 0 or to == at):
+            room -= len(texts[to].as_py() or b"")
+            to += 1
+        yield at, to
+        at = to
+
+
 def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000) -> DataFrame:
     """doc (struct of the input's columns), n_words, firsts, ends (spans of hit words), items (ids as strings)."""
     spark = docs.sparkSession
@@ -164,19 +184,13 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "tex
             for batch in batches:
                 doc = batch.column(0)
                 texts = batch.column(1)
-                at = 0
-                while at < batch.num_rows:
-                    to, room = at, SEGMENT_WORDS * 6
-                    while to < batch.num_rows and (room > 0 or to == at):
-                        room -= len(texts[to].as_py() or b"")
-                        to += 1
+                for at, to in _segments(texts):
                     found = search(texts.slice(at, to - at).to_pylist(), w)
                     cols = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [doc.slice(at, to - at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string()))],
                         names=["doc", "n_words", "firsts", "ends", "items"],
                     )
-                    at = to
 
         return rows.select("doc", F.col("doc").getField(text_col).cast("binary").alias("text")).mapInArrow(run, out)
 
@@ -205,6 +219,41 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "tex
     )
 
 
+def nearby(docs: DataFrame, items: DataFrame, within: int, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000) -> DataFrame:
+    """doc (struct of the input's columns), item (id as a string), first, last: the least spans of at most ``within`` words
+    of a document that hold all distinct words of an item, as positions of their first and last word.
+
+    Items without words match nothing; equal ids give the spans of each of their texts; spans of an item without an id
+    have a null ``item``; repeated documents have rows of their own.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = rows.schema.add("item", "string").add("first", "long").add("last", "long")
+
+    def one(block) -> DataFrame:
+        terms: dict[bytes, int] = {}
+        asked = {(item, frozenset(terms.setdefault(w, len(terms)) for w in words(text))) for item, text in block}
+        shared = spark.sparkContext.broadcast((terms, [(item, list(t)) for item, t in asked if t]))
+
+        def run(batches):
+            terms, asked = shared.value
+            for batch in batches:
+                for at, to in _segments(batch.column(1)):
+                    segment = Segment([words(t) for t in batch.column(1).slice(at, to - at).to_pylist()], terms, 1)
+                    here = np.diff(segment.bounds) > 0
+                    for item, ids in asked:
+                        if here[ids].all() and (spans := segment.near(ids, within)):
+                            first, last = np.array(spans, np.int64).T
+                            doc = np.searchsorted(segment.starts, first, "right") - 1
+                            base = segment.starts[doc]
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pa.array([item] * len(doc), pa.string()), pa.array(first - base), pa.array(last - base)], names=["doc", "item", "first", "last"])
+
+        return rows.select("doc", F.col("doc").getField(text_col).cast("binary").alias("text")).mapInArrow(run, out)
+
+    return reduce(DataFrame.unionByName, [one(b) for b in _blocks(items, item_col, item_text, block_words)])
+
+
 def n_hit(firsts: str = "firsts", ends: str = "ends"):
     """Number of words in the hit spans."""
     return F.aggregate(F.zip_with(ends, firsts, lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 from orweave.llm import decontaminate as dec
+from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -58,3 +59,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.firsts) for r in dec.hits(docs, none).collect()] == [(2, [])]
     assert dec.hits(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("block", [250_000, 6])
+def test_nearby_finds_inserted_and_swapped_words(spark, block):
+    items, texts = case()
+    items, within = [*items, (60, "b d a")], 4
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts + texts[:2] + ["x a y b d", "d c a b"])], "doc_id long, text string, first int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    want = set()
+    for r in docs.collect():
+        d = split(r.text)
+        for item, t in items:
+            if need := set(split(t)):
+                spans = {(a, b) for b in range(len(d)) for a in range(max(0, b - within + 1), b + 1) if need <= set(d[a : b + 1])}
+                want |= {(r.doc_id, str(item), a, b) for a, b in spans if not any((x, y) != (a, b) and a <= x and y <= b for x, y in spans)}
+    found = {(r.doc.doc_id, r.item, r.first, r.last) for r in dec.nearby(docs, bench, within, block_words=block).select("doc", "item", F.col("first"), F.col("last")).collect()}
+    assert found == want and any(i == len(texts) + 3 and item == "60" for i, item, _, _ in found)
