@@ -17,7 +17,7 @@ a corpus pass per block, hits of all blocks joined per document.
 
 Defined cases: a null or empty text has no words and no hits; items without words match nothing;
 items shorter than a window are one window; equal item ids count once per id, equal items once
-per item; repeated documents are rows of their own; an empty corpus gives no rows and an empty
+per item; windows of an item with a null id are hits that name no item; repeated documents are rows of their own; an empty corpus gives no rows and an empty
 test set no hits; the documents' columns travel in one struct, so names never clash.
 """
 
@@ -44,14 +44,14 @@ def words(text: bytes | None) -> list[bytes]:
 class Windows:
     """The distinct windows of some test items, as rows of term numbers."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         self.size, self.terms = size, {}
         of: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
                 of.setdefault(tuple(ids[at : at + size]), set()).add(item)
-        self.items = [sorted(x) for x in of.values()]
+        self.items = [sorted(x - {None}) for x in of.values()]
         self.lengths = np.fromiter(map(len, of), np.int64, len(of))
         self.padded = np.full((len(of), size), -1, np.int64)
         for i, w in enumerate(of):
@@ -144,7 +144,7 @@ def search(docs: list[bytes | None], w: Windows) -> list[tuple[int, list[int], l
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int):
     """The test set in blocks of bounded size, one at a time on the driver; long items go in shared parts."""
-    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     size, block = 0, []
     for r in rows.toLocalIterator():
         n = len(r.text) // 2 + 1
@@ -199,7 +199,7 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "tex
         return parts[0]
     # Several blocks: only documents with hits meet, by a 128-bit key of the row; all rows come from the first pass.
     key = [F.xxhash64(F.to_json("doc")).alias("k1"), F.xxhash64(F.lit(1), F.to_json("doc")).alias("k2")]
-    more = reduce(DataFrame.unionByName, [p.where("size(items) > 0").select(*key, "firsts", "ends", "items") for p in parts]).distinct()
+    more = reduce(DataFrame.unionByName, [p.where("size(firsts) > 0").select(*key, "firsts", "ends", "items") for p in parts]).distinct()
     spans = F.flatten(F.transform("all", lambda x: F.arrays_zip(x["firsts"].alias("a"), x["ends"].alias("b"))))
     none = F.array().cast("array<struct<a:int,b:int>>")
 

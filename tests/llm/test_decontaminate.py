@@ -76,3 +76,11 @@ def test_nearby_finds_inserted_and_swapped_words(spark, block):
                 want |= {(r.doc_id, str(item), a, b) for a, b in spans if not any((x, y) != (a, b) and a <= x and y <= b for x, y in spans)}
     found = {(r.doc.doc_id, r.item, r.first, r.last) for r in dec.nearby(docs, bench, within, block_words=block).select("doc", "item", F.col("first"), F.col("last")).collect()}
     assert found == want and any(i == len(texts) + 3 and item == "60" for i, item, _, _ in found)
+
+
+@pytest.mark.parametrize("block", [250_000, 6])
+def test_items_without_an_id_hit_and_are_not_named(spark, block):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, "e f g h"), (3, "a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d"), (7, "e f g h"), (None, "e f g h")], "item_id long, text string").coalesce(1)
+    found = {r.doc.doc_id: (r.firsts, r.ends, r["items"]) for r in dec.hits(docs, bench, size=4, block_words=block).collect()}
+    assert found == {1: ([1], [5], []), 2: ([0], [4], ["7"]), 3: ([], [], [])}
