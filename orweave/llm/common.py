@@ -8,6 +8,9 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,24 @@ def ship(spark: SparkSession) -> None:
     sc._orweave_shipped = True
 
 
+def slices(batch, text: int, most: int = 4_000_000):
+    """Parts of an Arrow batch whose texts (the column of that number, binary or string) take ``most`` bytes or are one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def strings(column: pa.Array) -> pa.Array:
+    """A binary column as strings; what isn't UTF-8 is replaced."""
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,16 +8,19 @@ segmentations leave the queue best first.
 
 No piece holds a word mark after another character, so every path passes each place where a word
 starts; the lattice falls into segments there (checked on the model: else a text is one segment).
-Segments are solved once per worker while they are remembered (``room`` of them). The second best
-path of a segment comes from forward and backward scores; only the N - 1 segments where deviating
+Forward and backward scores of all new segments of some texts are found together, position by
+position in arrays, and remembered (``room`` segments for good, a quarter as many for a while). The
+second best path of a segment follows from both scores; only the N - 1 segments where deviating
 costs least can take part in the N best of a text, and A-star runs on those alone.
 
 Texts are read as the model's identity normalizer does: spaces become word marks, one is put in
 front. ``decode`` gives the text back exactly, unless it holds the word mark itself.
 
-Defined cases: null and empty texts have one empty segmentation of score 0; of equally good
-best segmentations the one with the earliest start of its last pieces is first, other ties are ordered by pieces from the end; repeated rows stay; an empty table gives no rows; the input's columns travel
-in one struct.
+Defined cases: null and empty texts have one empty segmentation of score 0; very long texts are
+encoded whole, and a word of any length in time proportional to it; of equally good best
+segmentations the one with the earliest start of its last pieces is first, other ties are ordered
+by pieces from the end; repeated rows stay; an empty table gives no rows; the input's columns
+travel in one struct, so names never clash.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import heapq
 import re
 import zlib
 from array import array
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +41,77 @@ from orweave.llm import common
 
 MARK = "▁"
 INF = float("inf")
+#: Segments up to so many characters are solved in arrays, longer ones where they can't be cut one by one.
+LONG = 32
 _models: dict[str, "Pieces"] = {}
 
 
+@dataclass
+class Coded:
+    """A text's best segmentation, the scores of its n best and the ids of each as bytes."""
+
+    ids: np.ndarray
+    scores: list[float]
+    variants: list[bytes]
+
+
+class Trie:
+    """The pieces by character as arrays: a step is a look-up of (node, character) in an open hash table."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        chars = sorted({c for p in pieces for c in p})
+        self.alphabet = np.array([ord(c) for c in chars], np.int64)
+        classes, children = {c: k + 1 for k, c in enumerate(chars)}, {}
+        node_of = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in node_of:
+                    children[node_of[p[: k - 1]] * (len(chars) + 1) + classes[p[k - 1]]] = node_of[p[:k]] = len(node_of)
+        self.width = len(chars) + 1
+        self.piece, self.score = np.full(len(node_of), -1, np.int32), np.full(len(node_of), -INF)
+        for p, (i, s) in pieces.items():
+            self.piece[node_of[p]], self.score[node_of[p]] = i, s
+        self.bits = max(4, (4 * len(children)).bit_length())
+        self.keys, self.child = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        for slot, key, child in zip(self._slot(np.array(list(children), np.int64)).tolist(), children, children.values(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % len(self.keys)
+            self.keys[slot], self.child[slot] = key, child
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of code points; 0 for one that no piece holds."""
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == points, at + 1, 0)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The child of each node; -1 where there is none."""
+        key = node * self.width + char
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.child[slot], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            there = self.keys[slot[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.child[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+class _Known(dict):
+    """Looks in ``late`` for what it lacks."""
+
+    def __init__(self, late: dict):
+        self.late = late
+
+    def __missing__(self, key) -> int:
+        return self.late[key]
+
+
 class Pieces:
     def __init__(self, path: str, room: int = 800_000):
         import sentencepiece
@@ -47,68 +120,188 @@ class Pieces:
         size = m.get_piece_size()
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): (i, m.get_score(i)) for i in range(size) if m.is_byte(i)}
         self.scores = {m.id_to_piece(i): (i, m.get_score(i)) for i in range(size) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
-        #: The pieces by character: a node maps characters to nodes and 0 to (id, score) where a piece ends.
-        self.trie: dict = {}
-        for piece, end in self.scores.items():
-            node = self.trie
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[0] = end
+        self.longest = max(map(len, self.scores))
+        self.trie = Trie(self.scores)
         self.pairs = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
         self.parted = not any(MARK in p.lstrip(MARK) for p in self.scores)
-        self.texts = [m.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
+        texts = [m.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         for b, (i, _) in self.bytes.items():
-            self.texts[i] = bytes([b])
+            texts[i] = bytes([b])
         for i in range(size):
             if m.is_control(i) or m.is_unknown(i):
-                self.texts[i] = b""
+                texts[i] = b""
+        self.texts = pa.array(texts, pa.large_binary())
         self.width = "<u2" if size <= 1 << 16 else "<u4"
-        self.room, self.n_base = room, 0
-        self.ids: list[bytes] = []
-        self.score, self.count, self.gap = array("d"), array("q"), array("d")
-        pieces = self
-
-        class Known(dict):
-            def __missing__(self, segment: str) -> int:
-                if (at := pieces.late.get(segment)) is not None:
-                    return at
-                ids, score, count, gap = pieces.solve(segment)
-                at = len(pieces.ids)
-                pieces.ids.append(ids)
-                pieces.score.append(score)
-                pieces.count.append(count)
-                pieces.gap.append(gap)
-                if at < pieces.room:
-                    self[segment] = at
-                else:
-                    pieces.late[segment] = at
-                return at
-
-        self.late: dict[str, int] = {}
-        self.known = Known()
+        self.room = room
+        #: Numbers of segments (without the mark in front) and, as tuples, of parts of long ones: the first ``room``, and later ones.
+        self.late: dict = {}
+        self.known = _Known(self.late)
+        self.base: int | None = None
+        self.ids, self.starts = array("H" if self.width == "<u2" else "I"), array("q", [0])
+        self.score, self.gap = array("d"), array("d")
         self.several: dict[str, list] = {}
 
+    # Segments
+
     def segments(self, text: str) -> list[str]:
-        """The text with marks, cut where a word starts."""
+        """The text cut where a word starts, each segment without the mark in front of it."""
         if not text:
             return []
         if not self.parted:
-            return [MARK + text.replace(" ", MARK)]
+            return [text.replace(" ", MARK)]
         words = text.split(" ")
         if "" in words or MARK in text:
-            return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + MARK.join(words))
-        return [MARK + w for w in words]
+            return [s[1:] for s in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + MARK.join(words))]
+        return words
+
+    def _store(self, ids: np.ndarray, counts: np.ndarray, score: np.ndarray, gap: np.ndarray) -> int:
+        """Append solved segments; the number of the first."""
+        first = len(self.score)
+        self.ids.frombytes(ids.astype(self.width).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.score.frombytes(np.asarray(score, np.float64).tobytes())
+        self.gap.frombytes(np.asarray(gap, np.float64).tobytes())
+        return first
+
+    def _forget(self) -> None:
+        if len(self.late) > self.room // 4:
+            self.late.clear()
+            del self.ids[self.starts[self.base] :], self.starts[self.base + 1 :], self.score[self.base :], self.gap[self.base :]
+        if len(self.several) > self.room // 10:
+            self.several.clear()
+
+    def _remember(self, keys: list, first: int) -> None:
+        (self.known if self.base is None else self.late).update(zip(keys, range(first, first + len(keys)), strict=True))
+        if self.base is None and len(self.score) >= self.room:
+            self.base = len(self.score)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Solve the segments of these texts that aren't remembered. Numbers hold until the next call."""
+        self._forget()
+        new = list(set().union(*texts).difference(self.known).difference(self.late))
+        short = [s for s in new if len(s) < LONG]
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            self._remember(part, self._solve([MARK + s for s in part]))
+        if len(short) < len(new):
+            self._join([s for s in new if len(s) >= LONG])
+
+    def _join(self, long: list[str]) -> None:
+        """Solve long segments by parts: where no piece holds two neighbouring characters, every path passes between them."""
+        cut = {}
+        for s in long:
+            whole = MARK + s
+            at = [0, *(k for k in range(1, len(whole)) if whole[k - 1 : k + 1] not in self.pairs), len(whole)]
+            cut[s] = [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+        parts = [p for p in {p for x in cut.values() for p in x} if (p,) not in self.known and (p,) not in self.late]
+        small = [p for p in parts if len(p) <= LONG]
+        for at in range(0, len(small), 20_000):
+            part = small[at : at + 20_000]
+            self._remember([(p,) for p in part], self._solve(part))
+        for p in parts:
+            if len(p) > LONG:
+                self._remember([(p,)], self._store(*self._solve_one(p)))
+        for s, x in cut.items():
+            at = [self.known[p,] for p in x]
+            ids = np.concatenate([np.array(self.ids[self.starts[i] : self.starts[i + 1]], self.width) for i in at])
+            self._remember([s], self._store(ids, np.array([len(ids)]), [sum(self.score[i] for i in at)], [min(self.gap[i] for i in at)]))
+
+    # Forward and backward scores
+
+    def _solve(self, segments: list[str]) -> int:
+        """Solve segments in arrays and store them: ids of the best path, its score, by how much the second best is lower."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        # One place for each character and one for the end of each segment; ends hold no character.
+        points = np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = starts + lengths
+        chars = self.trie.classes(points)
+        chars[ends] = 0
+        most = int(min(lengths.max(), self.longest))
+        score, piece = np.full((most + 1, len(points)), -INF), np.full((most + 1, len(points)), -1, np.int32)
+        at, node = np.flatnonzero(chars), np.zeros(len(points), np.int64)
+        node = node[at]
+        for size in range(1, most + 1):
+            node = self.trie.step(node, chars[at + size - 1])
+            alive = node >= 0
+            at, node = at[alive], node[alive]
+            if not len(at):
+                most = max(1, size - 1)
+                break
+            score[size, at], piece[size, at] = self.trie.score[node], self.trie.piece[node]
+        spelled = np.flatnonzero(piece[1] < 0)
+        spelled = spelled[~np.isin(spelled, ends)]
+        words = {p: self._spelled(chr(p)) for p in np.unique(points[spelled]).tolist()}
+        score[1, spelled] = [words[p][1] for p in points[spelled].tolist()]
+        # Forward: the first of the best edges into a place, from the earliest start on, is kept.
+        fore, into = np.full(len(points), -INF), np.zeros(len(points), np.int64)
+        fore[starts] = 0.0
+        back = np.full(len(points), -INF)
+        back[ends] = 0.0
+        order = np.argsort(-lengths, kind="stable")
+        counts = np.searchsorted(-lengths[order], -np.arange(lengths.max() + 1), "right")
+        for j in range(1, int(lengths.max()) + 1):
+            there = starts[order[: counts[j]]] + j
+            best, size_of = np.full(len(there), -INF), np.zeros(len(there), np.int64)
+            for size in range(min(j, most), 0, -1):
+                value = fore[there - size] + score[size, there - size]
+                better = value > best
+                best[better], size_of[better] = value[better], size
+            fore[there], into[there] = best, size_of
+            there = ends[order[: counts[j]]] - j
+            best = np.full(len(there), -INF)
+            for size in range(1, min(j, most) + 1):
+                np.maximum(best, score[size, there] + back[there + size], out=best)
+            back[there] = best
+        used, here, left = np.zeros(len(points), np.int64), ends.copy(), np.flatnonzero(lengths)
+        while len(left):
+            size = into[here[left]]
+            here[left] -= size
+            used[here[left]] = size
+            left = left[here[left] > starts[left]]
+        second = np.full(len(points), -INF)
+        for size in range(1, most + 1):
+            value = fore[: len(points) - size] + score[size, : len(points) - size] + back[size:]
+            value[used[: len(points) - size] == size] = -INF
+            np.maximum(second[: len(points) - size], value, out=second[: len(points) - size])
+        gap = fore[ends] - np.maximum.reduceat(second, starts)
+        steps = np.flatnonzero(used)
+        ids, many = piece[used[steps], steps], np.ones(len(steps), np.int64)
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            spellings = [words[p][0] for p in points[steps[odd]].tolist()]
+            many[odd] = [len(x) for x in spellings]
+            flat = np.repeat(ids, many)
+            flat[np.repeat(ids < 0, many)] = [i for x in spellings for i in x]
+            ids = flat
+        upto = np.concatenate([[0], np.cumsum(many)])
+        edge = np.searchsorted(steps, np.append(starts, len(points)))
+        return self._store(ids, np.diff(upto[edge]), fore[ends], gap)
+
+    def _solve_one(self, segment: str) -> tuple[np.ndarray, np.ndarray, list[float], list[float]]:
+        """As ``_solve``, for one segment of any length."""
+        edges = self.edges(segment)
+        fore, last = self.forward(edges)
+        path, used, at = [], set(), len(edges)
+        while at:
+            start, (to, ids, _) = last[at]
+            path.append(ids)
+            used.add((start, to))
+            at = start
+        back, second = [-INF] * len(edges) + [0.0], -INF
+        for at in range(len(edges) - 1, -1, -1):
+            for to, _, score in edges[at]:
+                back[at] = max(back[at], score + back[to])
+                if (at, to) not in used:
+                    second = max(second, fore[at] + score + back[to])
+        flat = np.array([i for ids in reversed(path) for i in ids], self.width)
+        return flat, np.array([len(flat)]), [fore[-1]], [fore[-1] - second]
 
     def edges(self, segment: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each start: (end, ids, score) of the edges that leave it."""
-        n, out = len(segment), []
-        for at in range(n):
-            here, node = [], self.trie
-            for to in range(at, n):
-                if (node := node.get(segment[to])) is None:
-                    break
-                if p := node.get(0):
-                    here.append((to + 1, (p[0],), p[1]))
+        out = []
+        for at in range(len(segment)):
+            here = [(at + k, (p[0],), p[1]) for k in range(1, min(self.longest, len(segment) - at) + 1) if (p := self.scores.get(segment[at : at + k]))]
             if not here or here[0][0] != at + 1:
                 here.insert(0, (at + 1, *self._spelled(segment[at])))
             out.append(here)
@@ -131,49 +324,7 @@ class Pieces:
                     best[edge[0]], last[edge[0]] = base + edge[2], (at, edge)
         return best, last
 
-    def solve(self, segment: str) -> tuple[bytes, float, int, float]:
-        """(ids of the best path, its score, number of ids, by how much the second best is lower).
-
-        Where no piece holds two neighbouring characters, every path passes between them: such
-        parts are looked up, so that a word is solved once with and without its punctuation.
-        """
-        pairs, cuts = self.pairs, [0]
-        cuts += [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in pairs]
-        if len(cuts) > 1:
-            found = [self.known[segment[a:b]] for a, b in zip(cuts, [*cuts[1:], len(segment)], strict=True)]
-            return b"".join(self.ids[i] for i in found), sum(self.score[i] for i in found), sum(self.count[i] for i in found), min(self.gap[i] for i in found)
-        n, trie = len(segment), self.trie
-        fore, last = [0.0] + [-INF] * n, [None] * (n + 1)
-        edges = []
-        for at in range(n):
-            base, node, to, first = fore[at], trie, at, len(edges)
-            while to < n and (node := node.get(segment[to])) is not None:
-                to += 1
-                if 0 in node:
-                    i, score = node[0]
-                    edges.append((at, to, score))
-                    if base + score > fore[to]:
-                        fore[to], last[to] = base + score, (at, i)
-            if len(edges) == first or edges[first][1] != at + 1:
-                ids, score = self._spelled(segment[at])
-                edges.append((at, at + 1, score))
-                if base + score > fore[at + 1]:
-                    fore[at + 1], last[at + 1] = base + score, (at, ids)
-        path, used, at = [], set(), n
-        while at:
-            start, ids = last[at]
-            path.append(ids)
-            used.add((start, at))
-            at = start
-        back, second = [-INF] * n + [0.0], -INF
-        for at, to, score in reversed(edges):
-            rest = score + back[to]
-            if rest > back[at]:
-                back[at] = rest
-            if fore[at] + rest > second and (at, to) not in used:
-                second = fore[at] + rest
-        flat = [i for ids in reversed(path) for i in (ids if isinstance(ids, tuple) else (ids,))]
-        return np.array(flat, self.width).tobytes(), fore[n], len(flat), fore[n] - second
+    # The n best
 
     def nbest(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths by backward A-star with forward Viterbi scores: (score, ids), best first."""
@@ -193,25 +344,13 @@ class Pieces:
                 heapq.heappush(queue, (-(fore[start] + s + score), tail + ids[::-1], start, score + s))
         return found
 
-    def ranked(self, segment: str, best: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """``nbest`` with the path of ``solve`` in front: where several are best, it may stand anywhere among them, or behind the n."""
-        first = tuple(np.frombuffer(best, self.width).tolist())
+    def ranked(self, segment: str, best: tuple[int, ...], n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """``nbest`` with the Viterbi path in front: where several are best, it may stand anywhere among them, or behind the n."""
         found = self.nbest(segment, n)
-        return [(found[0][0], first), *[x for x in found if x[1] != first][: n - 1]]
+        return [(found[0][0], best), *[x for x in found if x[1] != best][: n - 1]]
 
-    def encode(self, text: str, n: int) -> tuple[bytes, int, list[float], list[tuple[tuple[int, int], ...]], list[int]]:
-        """(ids of the best, number of them, the n best scores, their deviations (segment, rank), segment numbers)."""
-        if len(self.late) > self.room // 4:
-            self.late.clear()
-            for x in (self.ids, self.score, self.count, self.gap):
-                del x[self.room :]
-        parts = self.segments(text)
-        where = list(map(self.known.__getitem__, parts))
-        if not where:
-            return b"", 0, [0.0], [()], where
-        at = np.array(where)
-        gaps = np.frombuffer(self.gap)[at]
-        total, count = float(np.frombuffer(self.score)[at].sum()), int(np.frombuffer(self.count, np.int64)[at].sum())
+    def _ways(self, parts: list[str], where: np.ndarray, gaps: np.ndarray, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """(loss, deviations (segment, rank)) of the n best segmentations of a text."""
         open_ = np.flatnonzero(gaps < INF)
         if len(open_) > n - 1:
             limit = np.partition(gaps[open_], n - 2)[n - 2] if n > 1 else -INF
@@ -219,36 +358,54 @@ class Pieces:
             open_ = np.sort(np.concatenate([below, same[: n - 1 - len(below)]]))
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for i in open_.tolist():
-            if parts[i] not in self.several:
-                if len(self.several) > self.room // 10:
-                    self.several.clear()
-                self.several[parts[i]] = self.ranked(parts[i], self.ids[where[i]], n)
-            ranks = self.several[parts[i]]
+            if (parts[i], n) not in self.several:
+                k = where[i]
+                self.several[parts[i], n] = self.ranked(MARK + parts[i], tuple(self.ids[self.starts[k] : self.starts[k + 1]]), n)
+            ranks = self.several[parts[i], n]
             costs = [(ranks[0][0] - s, ((i, k),) if k else ()) for k, (s, _) in enumerate(ranks)]
             ways = heapq.nsmallest(n, ((c + d, w + x) for c, w in ways for d, x in costs))
-        joined = b"".join(map(self.ids.__getitem__, where))
-        return joined, count, [total - c for c, _ in ways], [w for _, w in ways], where
-
-    def variants(self, text: str, best: bytes, where: list[int], ways: list[tuple[tuple[int, int], ...]]) -> list[bytes]:
-        """Ids of the segmentations that deviate from the best one as ``ways`` say."""
-        if len(ways) == 1:
-            return [best]
-        parts, size = self.segments(text), np.dtype(self.width).itemsize
-        ends = np.cumsum(np.frombuffer(self.count, np.int64)[np.array(where)]) * size
+        return ways
+
+    def batch(self, texts: list[str], n: int) -> list[Coded]:
+        """The n best segmentations of each text."""
+        split = list(map(self.segments, texts))
+        self.learn(split)
+        where = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        bound = np.cumsum([0, *map(len, split)]).tolist()
+        # Copies: an array can't grow while numpy looks at it.
+        starts, flat = np.array(self.starts), np.array(self.ids, self.width)
+        scores, gaps = np.array(self.score)[where], np.array(self.gap)[where]
+        sizes = starts[where + 1] - starts[where]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(starts[where] - upto[:-1], sizes) + np.arange(upto[-1])]
         out = []
-        for way in ways:
-            pieces, at = [], 0
-            for i, k in way:
-                end = int(ends[i])
-                pieces += [best[at : end - len(self.ids[where[i]])], np.array(self.several[parts[i]][k][1], self.width).tobytes()]
-                at = end
-            out.append(b"".join([*pieces, best[at:]]))
+        for parts, a, b in zip(split, bound, bound[1:], strict=False):
+            if a == b:
+                out.append(Coded(ids[:0], [0.0], [b""]))
+                continue
+            best, total = ids[upto[a] : upto[b]], float(scores[a:b].sum())
+            ways = self._ways(parts, where[a:b], gaps[a:b], n)
+            whole, size, variants = best.tobytes(), best.itemsize, []
+            for _, way in ways:
+                pieces, at = [], 0
+                for i, k in way:
+                    begin, end = (int(upto[a + j] - upto[a]) * size for j in (i, i + 1))
+                    pieces += [whole[at:begin], np.array(self.several[parts[i], n][k][1], self.width).tobytes()]
+                    at = end
+                variants.append(b"".join([*pieces, whole[at:]]) if way else whole)
+            out.append(Coded(best, [total - c for c, _ in ways], variants))
         return out
 
+    def decode_bytes(self, lists: list[np.ndarray]) -> list[bytes]:
+        """The texts of lists of ids; the mark in front is taken off."""
+        joined = self.texts.take(pa.array(np.concatenate(lists) if lists else np.empty(0, self.width)))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1]
+        data = joined.buffers()[2].to_pybytes() if len(joined) and joined.buffers()[2] else b""
+        ends = offsets[np.cumsum([0, *map(len, lists)])].tolist() if len(joined) else [0] * (len(lists) + 1)
+        return [data[a + (data[a : a + 1] == b" " and b > a) : b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def decode(self, ids) -> str:
-        """The text of ids; the mark in front is taken off."""
-        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_bytes([np.asarray(ids, self.width)])[0].decode("utf-8", "replace")
 
 
 def model(path: str) -> Pieces:
@@ -270,22 +427,14 @@ def encode(docs: DataFrame, path: str, n: int = 4, text_col: str = "text") -> Da
     def run(batches):
         m = model(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids, counts, scores, sums, trips = [], [], [], [], []
-                for raw in some.column(1).to_pylist():
-                    text = (raw or b"").decode("utf-8", "replace")
-                    best, count, values, ways, where = m.encode(text, n)
-                    numbers = np.frombuffer(best, m.width)
-                    ids.append(numbers)
-                    counts.append(count)
-                    scores.append(values)
-                    sums.append([zlib.crc32(v) for v in m.variants(text, best, where, ways)])
-                    trips.append(m.decode(numbers.tolist()) == text)
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat)
+            for some in common.slices(batch, 1):
+                texts = [(x or b"").decode("utf-8", "replace") for x in some.column(1).to_pylist()]
+                found = m.batch(texts, n)
+                ids = [c.ids for c in found]
+                trips = [x == t.encode("utf-8", "replace") for x, t in zip(m.decode_bytes(ids), texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), lists, pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(sums, pa.list_(pa.int64())), pa.array(trips)],
+                    [some.column(0), lists, pa.array(list(map(len, ids)), pa.int64()), pa.array([c.scores for c in found], pa.list_(pa.float64())), pa.array([[zlib.crc32(v) for v in c.variants] for c in found], pa.list_(pa.int64())), pa.array(trips)],
                     names=["doc", "ids", "n_pieces", "scores", "variants_crc32", "round_trip"],
                 )
 
