@@ -46,15 +46,30 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    return table_at(df, name)[0]
+def table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``few``: in few files (see ``few_files``), where the work of df is done before its last shuffle.
+    """
+    return table_at(df, name, few)[0]
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of df, 0 where it has no idea (it multiplies the sides of joins)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else 0
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df in no more partitions than its size calls for: three a core, or one for each 32 MB expected; for writing."""
+    size = size_of(df)
+    return df.coalesce(min(1 << 20, max(3 * df.sparkSession.sparkContext.defaultParallelism, size // (32 << 20)))) if size else df
 
 
-def table_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def table_at(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, str]:
     """As ``table``, with the path, so that the caller can remove what nothing reads any more."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (few_files(df) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -19,16 +19,20 @@ manifest; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import uuid
 import zlib
 from array import array
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +43,21 @@ NULL_ID = -(2**63)
 _encoders: dict[tuple, "WordEncoder"] = {}
 
 
+#: Letters, digits, ASCII signs but the apostrophe and single line breaks: what the split pattern parts runs of which are easily told.
+_RUN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++|[0-9]++|[!-&(-/:-@\\[-`{-~]++"
+RUNS = re.compile(f"{_RUN}|\n")
+PLAIN = re.compile(f"(?:{_RUN}|(?<!\n)\n(?!\n))+")
+
+
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library and remembers words.
 
     The tokenizer's split pattern always cuts before a single space between two characters
     that are not white space, so a text is the concatenation of its space-led words and equal
-    words get equal ids. A text for which this doesn't hold (an edge of a word is white space,
-    or a special token occurs) is encoded as a whole. ``room`` bounds the remembered words.
+    words get equal ids; a word is the concatenation of its runs of letters, digits or signs. A text for
+    which this doesn't hold (an edge of a word is white space, or a special token occurs) is encoded
+    as a whole, and so is every text if the file describes any other tokenizer than byte-level BPE
+    with that pattern and nothing before or after it. ``room`` bounds the remembered words.
     """
 
     def __init__(self, path: str, dtype: str, room: int = 1_000_000):
@@ -53,6 +65,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.model, self.dtype, self.room = (t := Tokenizer.from_file(path)), t.model, dtype, room
+        self.plain = _splits_at_spaces(json.loads(t.to_str()))
         self.code = "H" if dtype == "<u2" else "I"
         self.special = [a.content for a in t.get_added_tokens_decoder().values()]
         # The byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest follows from 256 on.
@@ -60,21 +73,8 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
         self.space = chr(self.alphabet[32])
-        encoder = self
-
-        class Words(dict):
-            def __missing__(self, word: str):
-                found = encoder._word(word)
-                if len(self) >= encoder.room:
-                    encoder.late[word] = found
-                    if len(encoder.late) > encoder.room // 4:
-                        encoder.late.clear()
-                else:
-                    self[word] = found
-                return found
-
-        self.late: dict[str, bytes | None] = {}
-        self.words = Words()
+        #: Ids of words with a space before them and of runs without one; the first ``room`` words, and later ones for a while.
+        self.words, self.late, self.runs = _Missing(self._word), {}, _Missing(self._run)
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -87,32 +87,87 @@ class WordEncoder:
         written = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
         return self._pack([t.id for t in self.model.tokenize(written)])
 
+    def _run(self, run: str) -> bytes:
+        if len(self.runs) >= self.room // 4:
+            self.runs.clear()
+        found = self.runs[run] = self._piece(run)
+        return found
+
     def _word(self, word: str) -> bytes | None:
         """Ids of the word with a space before it; None if the word can't stand alone."""
         if (known := self.late.get(word)) is not None:
             return known
+        found = self._encode(word)
+        if len(self.words) < self.room:
+            self.words[word] = found
+        elif found is not None:
+            if len(self.late) >= self.room // 4:
+                self.late.clear()
+            self.late[word] = found
+        return found
+
+    def _encode(self, word: str) -> bytes | None:
         if word.isalpha():
             return self._piece(" " + word)
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return self.words[word[:-1]] + self._piece(word[-1])
+        if PLAIN.fullmatch(word):
+            first, *rest = RUNS.findall(word)
+            return b"".join([self.words[first] if first != word else self._piece(" " + word), *map(self.runs.__getitem__, rest)])
         return self._pack(self.tokenizer.encode(" " + word, add_special_tokens=False).ids)
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        first, _, rest = text.partition(" ")
-        if not rest or any(s in text for s in self.special) or first[-1:].isspace():
-            return self.whole(text)
-        try:
-            later = b"".join(map(self.words.__getitem__, rest.split(" ")))
-        except TypeError:
-            return self.whole(text)
-        return (self.whole(first) if first else b"") + later if first else self.whole(text)
+    def _first(self, word: str) -> bytes:
+        """Ids of the word that a text begins with."""
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self.runs.__getitem__, RUNS.findall(word)))
+        return self.whole(word)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow array of strings; distinct words of the array are looked up once."""
+        texts = pc.fill_null(texts, "")
+        if not self.plain:
+            return list(map(self.whole, texts.to_pylist()))
+        odd = reduce(np.logical_or, [pc.match_substring(texts, s).to_numpy(zero_copy_only=False) for s in self.special], np.zeros(len(texts), bool))
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.values[bounds[0] : bounds[-1]].dictionary_encode()
+        bounds = bounds - bounds[0]
+        found = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        alone = np.fromiter((f is not None for f in found), bool, len(found))
+        codes = coded.indices.to_numpy()
+        joined = pa.array([f or b"" for f in found], pa.large_binary()).take(coded.indices)
+        offsets, data = np.frombuffer(joined.buffers()[1], np.int64).tolist() if len(joined) else [0], joined.buffers()[2]
+        data = memoryview(data) if data else b""
+        # Up to each word, how many can't stand alone.
+        bad = np.concatenate([[0], np.cumsum(~alone[codes])])
+        odd |= bad[bounds[1:]] > bad[np.minimum(bounds[:-1] + 1, bounds[1:])]
+        out = []
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+            first = split.values[int(split.offsets[i].as_py())].as_py() if b > a else ""
+            if odd[i] or b - a > 1 and (not first or first[-1].isspace()):
+                out.append(self.whole(texts[i].as_py()))
+            else:
+                out.append(self._first(first) + data[offsets[a + 1] : offsets[b]] if b - a > 1 else self._first(first))
+        return out
+
+
+class _Missing(dict):
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key: str):
+        return self.find(key)
+
+
+def _splits_at_spaces(file: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the usual split pattern, without anything that sees more than a piece."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    bare = not file.get("normalizer") and not file.get("truncation") and not file.get("padding") and (file.get("post_processor") or {"type": "ByteLevel"})["type"] == "ByteLevel"
+    return bool(plain and bare and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges"))
 
 
 def _open(path: str):
@@ -174,8 +229,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     spark = docs.sparkSession
     common.ship(spark)
     dtype = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.size_of(docs) // (64 << 20))
+    rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def shard(batches):
         key = (tokenizer, dtype)
@@ -190,13 +246,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
         offsets, names = [0], []
         with system.open_output_stream(f"{inner}/{name}.ids") as out:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
+                for some in common.slices(batch, 1):
                     names += some.column(0).to_pylist()
-                    for text in some.column(1).to_pylist():
-                        ids = encode(text) + end
-                        out.write(ids)
-                        offsets.append(offsets[-1] + len(ids) // width)
+                    for ids in encode(common.strings(some.column(1))):
+                        out.write(ids + end)
+                        offsets.append(offsets[-1] + len(ids + end) // width)
         with system.open_output_stream(f"{inner}/{name}.off") as out:
             out.write(np.array(offsets, "<i8").tobytes())
             out.write(np.array([NULL_ID if n is None else n for n in names], "<i8").tobytes())

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from orweave.llm import common, token_files
 
@@ -13,8 +15,20 @@ def test_words_are_encoded_as_the_library_encodes_texts():
     from tokenizers import Tokenizer
 
     library, ours = Tokenizer.from_file(PATH), token_files.WordEncoder(PATH, "<u2", room=5)
-    for text in TEXTS * 2:
-        assert np.frombuffer(ours.encode(text), "<u2").tolist() == library.encode(text or "", add_special_tokens=False).ids
+    rng = random.Random(3)
+    odd = ["".join(rng.choices([*"ab éß'sx1２\n\t.,#'-_…漢 ", "\n\n", "  ", "don't", " '", "<|endoftext|>"], k=rng.randrange(30))) for _ in range(5000)]
+    for some in ([*TEXTS, *odd], TEXTS, [], [None], ["a" * 100_000 + "漢 " + "1." * 50_000]):
+        found = ours.encode(pa.array(some, pa.string()))
+        assert [np.frombuffer(f, "<u2").tolist() for f in found] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(path), token_files.WordEncoder(path, "<u2")
+    texts = ["Two  Words.", "don't STOP 12", ""]
+    assert not ours.plain and [np.frombuffer(f, "<u2").tolist() for f in ours.encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_files_hold_every_document_in_order(spark):
