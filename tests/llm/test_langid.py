@@ -3,6 +3,8 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from orweave.llm import common, langid, queries
 from pyspark.sql import functions as F
@@ -85,8 +87,10 @@ def test_scorer_forgets_without_changing_scores(spark):
     rng = random.Random(2)
     for _ in range(30):
         texts = [" ".join("".join(rng.choices("abde!", k=3)) for _ in range(20)) for _ in range(3)] + [""]
-        for (x, n), (y, m) in zip(few.batch(texts), many.batch(texts), strict=True):
-            assert n == m and x == pytest.approx(y)
+        (x, n), (y, m) = few.batch(pa.array(texts)), many.batch(pa.array(texts))
+        assert n.tolist() == m.tolist() and x == pytest.approx(y)
+        want = [model.log_probabilities([w for t in [text] for w in map(langid.letters, t.split()) if w]) for text in texts]
+        assert y == pytest.approx(np.array([logs.sum(axis=0) for logs, _ in want])) and m.tolist() == [n.sum() for _, n in want]
 
 
 def test_keys_of_the_default_model_stay_apart(spark):
