@@ -3,29 +3,31 @@
 Each round hangs every node's larger neighbours onto its smallest neighbour (large star), then
 every node's smaller neighbours onto the smallest of them (small star), until the edges are
 stars around the smallest member of each component. A round is two aggregations and two
-equi-joins; no neighbour list is ever gathered in one row. Smallest neighbours and the edges of a
-round are written tables: a hub with a third of all edges is then a skewed join that Spark splits.
+equi-joins; no neighbour list is ever gathered in one row. The edges of a round are a written table,
+which cuts the lineage; smallest neighbours are kept on disk within their round, so that a hub with a
+third of all edges is a skewed join of two plain tables, which Spark splits.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orweave.llm import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b), a > b."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One star step over edges (a, b), a > b: the new edges, and what to release once they are there."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = common.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).persist(StorageLevel.DISK_ONLY)
         hung = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = common.table(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = edges.groupBy("a").agg(F.min("b").alias("m")).persist(StorageLevel.DISK_ONLY)
         hung = edges.join(least, "a").select("a", "b", "m")
         hung = hung.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-    return hung.where("a != b").distinct()
+    return hung.where("a != b").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,15 +38,18 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     spark = edges.sparkSession
-    (state, path), before = common.table_at(edges, "edges"), None
+    (state, path), before = common.table_at(edges, "edges", few=True), None
     while True:
         n, total = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if (n, total) == before or not n:
             break
         before = n, total
-        hung, middle = common.table_at(_star(state, True), "edges")
-        state, new = common.table_at(_star(hung, False), "edges")
-        for old in (path, middle):
-            common.remove(spark, old)
+        hung, first = _star(state, True)
+        hung = hung.persist(StorageLevel.DISK_ONLY)
+        small, second = _star(hung, False)
+        state, new = common.table_at(small, "edges", few=True)
+        for old in (first, hung, second):
+            old.unpersist()
+        common.remove(spark, path)
         path = new
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

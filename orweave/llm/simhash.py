@@ -21,9 +21,10 @@ similarity s agrees on none of b bands with chance (1 - s**ROWS)**b, whatever th
 Jaccard similarity of their shingle sets, again by tiles that report forests.
 
 Defined cases: a null text and one without words have the zero fingerprint, linked like any
-other; texts shorter than a shingle are one shingle; repeated rows and ids share a component;
-rows with a null id are grouped by their fingerprint but never name a group; an empty table
-gives an empty result; other columns are ignored.
+other; texts shorter than a shingle are one shingle; very long texts are hashed whole, some thousand
+shingles at a time; repeated rows and ids share a component; rows with a null id link others and are
+grouped like any other, but never name a group (a group without ids has a null name); ties are broken
+by the least fingerprint or id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,25 +195,28 @@ def blocks(bits: int, radius: int, tables: int | None, block_bits: int) -> list[
 
 
 def links(members: DataFrame, bits: int, radius: int, tables: int | None = None, block_bits: int = 16, room: int = 1024) -> DataFrame:
-    """(a, b): a spanning forest, for each tile, of the links among members (rep long, fp binary, distinct)."""
+    """(a, b): a spanning forest, for each tile, of the links among members (rep, their name, a long or binary; fp binary, distinct)."""
     spark = members.sparkSession
     common.ship(spark)
+    kind = members.schema["rep"].dataType.simpleString()
+    arrow = pa.int64() if kind == "bigint" else pa.binary()
     positions = blocks(bits, radius, tables, block_bits)
 
     def keys(batches):
-        picks = np.array([p + [p[-1]] * (64 - len(p)) for p in positions])  # padded to 64 columns; the pad is masked out
-        used = np.array([[1] * len(p) + [0] * (64 - len(p)) for p in positions], np.uint8)
+        picks = np.array([p[:64] + [p[-1]] * (64 - len(p)) for p in positions])  # padded to 64 columns; the pad is masked out
+        used = np.array([[1] * len(p[:64]) + [0] * (64 - len(p)) for p in positions], np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 fps = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(-1, bits // 8)
                 flat = np.unpackbits(fps, axis=1)
                 for t in range(len(positions)):
+                    # Blocks of more than 64 bits are keyed by their first 64: a coarser shard holds no fewer links.
                     key = np.ascontiguousarray(np.packbits(flat[:, picks[t]] * used[t], axis=1)).view(">i8").reshape(-1).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), some.column(0), some.column(1)], names=["t", "key", "rep", "fp"])
 
-    entries = members.select("rep", "fp").mapInArrow(keys, "t int, key long, rep long, fp binary")
-    hot = common.table(entries.groupBy("t", "key").count().where(F.col("count") > room), "hot-shards")
+    entries = members.select("rep", "fp").mapInArrow(keys, f"t int, key long, rep {kind}, fp binary")
+    hot = common.table(entries.groupBy("t", "key").count().where(F.col("count") > room), "hot-shards", few=True)
     k = F.ceil(F.col("count") / room).cast("int")
     mine = F.pmod(F.xxhash64("fp"), k.cast("long")).cast("int")
     dealt = entries.join(hot, ["t", "key"], "left").withColumn("other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), k - 1))))
@@ -228,7 +232,7 @@ def links(members: DataFrame, bits: int, radius: int, tables: int | None = None,
                 found.extend(tile_links(tree, None if now[2] == now[3] else asked, radius))
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], arrow), pa.array([x[1] for x in found], arrow)], names=["a", "b"])
             found.clear()
             return batch
 
@@ -245,7 +249,7 @@ def links(members: DataFrame, bits: int, radius: int, tables: int | None = None,
         yield out()
 
     tiles = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return tiles.mapInArrow(solve, "a long, b long").distinct()
+    return tiles.mapInArrow(solve, f"a {kind}, b {kind}").distinct()
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -254,20 +258,25 @@ def radius_of(similarity: float, bits: int) -> int:
 
 
 def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None = None, block_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", bands: int = 0) -> DataFrame:
-    """doc_id, k1, k2, fp, component_id (the smallest id of the group) of every row."""
+    """doc_id, k1, k2, fp, grp (the least fingerprint of the group), component_id (its smallest id) of every row.
+
+    Fingerprints are linked, whatever the ids of their rows: a row without an id links others as well.
+    """
     rows = common.table(fingerprints(docs, k, bits, id_col, text_col, bands), "fingerprints")
-    members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "members")
-    edges = links(members.where("rep is not null"), bits, radius, tables, block_bits)
+    node = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.col("fp")
+    members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", node), "members", few=True)
+    edges = links(members, bits, radius, tables, block_bits)
     if bands:
         # Equal fingerprints are one member, whatever their sets: the bands of all its texts count.
-        banded = rows.select("fp", "bands").distinct().join(members.where("rep is not null"), "fp").select("rep", F.explode("bands").alias("band"))
-        banded = common.table(banded, "bands")
+        banded = common.table(rows.select(node.alias("rep"), "bands").distinct().select("rep", F.explode("bands").alias("band")), "bands")
         stars = banded.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most").select("band", "b")
-        stars = common.table(stars, "shared-bands")
+        stars = common.table(stars, "shared-bands", few=True)
         edges = edges.unionByName(banded.join(stars, "band").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
     found = components(edges)
-    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
+    grouped = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("grp"))
+    ids = grouped.groupBy("grp").agg(F.min("least").alias("component_id"))
+    named = common.table(grouped.join(ids, "grp").select("fp", "grp", "component_id"), "named", few=True)
+    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
 
 def verify_tile(tree: list[tuple], asked: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -324,13 +333,13 @@ def verify_tile(tree: list[tuple], asked: list[tuple] | None, radius: int, simil
 
 
 def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", room: int = 512) -> DataFrame:
-    """``groups`` of a wide radius made exact: doc_id, k1, k2, fp, component_id, grp by links of at least this similarity.
+    """``groups`` of a wide radius made exact: doc_id, k1, k2, fp, grp, component_id by links of at least this similarity.
 
     Only documents in groups of several texts are read again, equal texts once.
     """
     spark = docs.sparkSession
-    crowds = grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1 and component_id is not null").select("component_id")
-    some = common.table(grouped.join(crowds, "component_id").select("k1", "k2", "fp", F.col("component_id").alias("g")), "candidates")
+    crowds = grouped.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    some = common.table(grouped.join(crowds, "grp").select("k1", "k2", "fp", F.xxhash64("grp").alias("g")), "candidates", few=True)
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
     rows = keyed.join(some.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("g", "k1", "k2", F.xxhash64("text").alias("t"), "fp", "text")
 
@@ -371,14 +380,11 @@ def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarit
 
     tiles = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     found = components(tiles.mapInArrow(solve, "a long, b long")).withColumnRenamed("node", "t")
-    # A group is named by the least id of its texts; texts that nothing is similar to are groups of their own.
-    texts = sets.select("k1", "k2", "t").join(found, "t", "left").select("k1", "k2", F.coalesce("component", "t").alias("c"))
-    named = grouped.join(texts.distinct(), ["k1", "k2"], "left")
-    least = named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    # Ids may repeat, so that two groups bear one name; ``grp`` tells them apart.
-    key = F.when(F.col("c").isNotNull(), F.concat(F.lit("c"), "c")).when(F.col("component_id").isNull(), F.hex("fp")).otherwise(F.concat(F.lit("k"), "k1"))
-    name = F.when(F.col("c").isNull(), F.col("component_id")).otherwise(F.col("least"))
-    return named.join(least, "c", "left").select("doc_id", "k1", "k2", "fp", name.alias("component_id"), key.alias("grp"))
+    # Texts that nothing is similar to are groups of their own, and so are those that no candidate group holds.
+    texts = sets.select("k1", "k2", F.col("t").alias("own")).join(found.withColumnRenamed("t", "own"), "own", "left").select("k1", "k2", F.coalesce("component", "own").alias("c"))
+    named = grouped.join(texts.distinct(), ["k1", "k2"], "left").select("doc_id", "k1", "k2", "fp", F.coalesce(F.concat(F.lit("c"), "c"), F.concat(F.lit("f"), F.hex("fp"))).alias("grp"))
+    named = common.table(named, "verified")
+    return named.join(named.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "grp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
 
 def representatives(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -79,6 +79,26 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.groups(spark.createDataFrame([], schema), 3, 64, 3).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    """1 and 2 are linked by a text between them, whose row may lack an id."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(0, 400, 2)]
+    fps = {int.from_bytes(simhash.fingerprint(t.encode(), 3)): t for t in texts}
+    near = lambda x, y: (x ^ y).bit_count() <= 3
+    middle, a, b = next((m, x, y) for m in fps for x in fps for y in fps if m not in (x, y) and near(m, x) and near(m, y) and not near(x, y))
+    for between in (5, None):
+        docs = spark.createDataFrame([(1, fps[a]), (2, fps[b]), (between, fps[middle])], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in simhash.groups(docs, 3, 64, 3).collect()} == {1: 1, 2: 1, between: 1}
+
+
+def test_blocks_wider_than_a_key(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(512) for _ in range(30)]
+    rows = [(i, b.to_bytes(64)) for i, b in enumerate(base)] + [(100 + i, (b ^ (7 << rng.randrange(500))).to_bytes(64)) for i, b in enumerate(base)]
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame(rows, "rep long, fp binary"), 512, 3).collect()}
+    assert found == {(i, 100 + i) for i in range(30)}
+
+
 def test_wide_fingerprints_catch_edited_copies(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(5000)]
