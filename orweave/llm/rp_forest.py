@@ -2,7 +2,7 @@
 
 Trees: at each level a tree projects vectors on one random direction and splits every node at
 the median of a sample (at most ``sample`` vectors, those with the least hash; below its reach
-at 0). A vector whose projection is within ``spill`` of the split goes to both sides, so close
+at 0). Their depth follows from the largest label, so that leaves stay small however many vectors there are. A vector whose projection is within ``spill`` of the split goes to both sides, so close
 vectors are rarely parted, and the other trees catch those that were: a projection of a distance d
 is d / sqrt(dimension) wide, so the spill is half of that at the threshold, and as more levels part
 more pairs, there are more trees the deeper they are. Every vector is indexed. A node that spills nearly everything stays a leaf.
@@ -14,8 +14,9 @@ first of them. A tile returns sums and a spanning forest of its links, never its
 
 Equal vectors of a label are one member with a number of copies. Defined cases: vectors that are
 null, empty, zero or hold null or non-finite values, and null labels, link with nothing; vectors
-of unlike lengths don't link; repeated rows are copies; null ids count as copies but name no
-component; an empty table gives no rows; other columns are ignored.
+of unlike lengths don't link; repeated rows are copies; rows with a null id are linked and counted like
+any other but name no component (one without any id has none); long vectors are compared whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def directions(dim: int, trees: int, depth: int) -> np.ndarray:
 
 def shape(most: int, leaf: int) -> tuple[int, int]:
     """(trees, depth) for that many vectors of a label."""
-    depth = min(20, max(0, math.ceil(math.log(max(1, most) / leaf) / math.log(1 / 0.6)))) if most else 0
+    depth = max(0, math.ceil(math.log(max(1, most) / leaf) / math.log(1 / 0.6)))
     return 3 + math.ceil(0.3 * depth), depth
 
 
@@ -59,13 +60,16 @@ def units(raw: list[bytes], dtype: str) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, dim: int, trees: int, depth: int, spill: float, least: int = 16) -> np.ndarray:
-    """Split points, trees x nodes in heap order (root 1); NaN where a node is a leaf."""
-    splits = np.zeros((trees, 1 << (depth + 1)))
-    splits[:, 1 << depth :] = np.nan
+    """Split points of the first levels, trees x nodes in heap order (root 1); NaN where a node is a leaf.
+
+    As many levels as the sample can fit; what lies deeper, and a node of less than ``least`` of the sample, splits at 0.
+    """
+    levels = min(depth, max(1, len(sample) // least).bit_length())
+    splits = np.zeros((trees, 1 << levels))
     for t in range(trees):
         p = sample @ directions(dim, trees, depth)[t] if len(sample) else np.zeros((0, max(1, depth)))
         nodes = {1: np.arange(len(sample))}
-        for level in range(depth):
+        for level in range(levels):
             below = {}
             for node, rows in nodes.items():
                 if len(rows) < least:
@@ -91,10 +95,11 @@ def leaves(x: np.ndarray, splits: np.ndarray, depth: int, spill: float) -> tuple
         p = x @ r[t]
         row, node = np.arange(len(x)), np.ones(len(x), np.int64)
         for level in range(depth + 1):
-            cut = splits[t, node]
-            ended = np.isnan(cut)
+            fitted = node < splits.shape[1]
+            cut = np.where(fitted, splits[t, np.where(fitted, node, 0)], 0.0)
+            ended = np.isnan(cut) | (level == depth)
             rows_out.append(row[ended])
-            codes_out.append((np.int64(t) << 40) + node[ended])
+            codes_out.append((np.int64(t) << 48) + node[ended])
             row, node, cut = row[~ended], node[~ended], cut[~ended]
             if not len(row):
                 break
@@ -143,7 +148,7 @@ def tile(code: int, a: np.ndarray, b: np.ndarray | None, codes_a: list, codes_b:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.93, trees: int | None = None, leaf: int = 256, room: int = 512, sample: int = 32_768, spill: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, threshold: float = 0.93, trees: int | None = None, leaf: int = 128, room: int = 512, sample: int = 32_768, spill: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row. ``trees`` and ``spill``: by default as ``shape`` and ``spill_of`` say."""
     spark = vectors.sparkSession
@@ -164,9 +169,10 @@ def near_duplicates(
             raw = [flat[a * width : b * width] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(raw, pa.binary())], names=["h1", "h2", "rep", "copies", "raw"])
 
-    groups = rows.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
-    groups = groups.where("rep is not null").withColumn("space", F.xxhash64("label", F.size("v")))
-    members = common.table(groups.select("h1", "space", "rep", "copies", "v").mapInArrow(pack, "h1 long, h2 long, rep long, copies long, raw binary").withColumnRenamed("h2", "space"), "vectors")
+    # Equal vectors of a label are one member, named by their 128-bit hash: ids name components alone.
+    groups = rows.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
+    groups = groups.select("*", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")])).alias("rep"), F.xxhash64("label", F.size("v")).alias("space"))
+    members = common.table(groups.select("h1", "space", "rep", "copies", "v").mapInArrow(pack, "h1 long, h2 long, rep binary, copies long, raw binary").withColumnRenamed("h2", "space"), "vectors")
 
     most = members.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     by_depth, depth = shape(most, leaf)
@@ -198,8 +204,8 @@ def near_duplicates(
                         names=["space", "code", "rep", "copies", "raw", "codes"],
                     )
 
-    entries = members.mapInArrow(index, "space long, code long, rep long, copies long, raw binary, codes array<long>")
-    crowded = common.table(entries.groupBy("space", "code").count().where(F.col("count") > room), "crowded-leaves")
+    entries = members.mapInArrow(index, "space long, code long, rep binary, copies long, raw binary, codes array<long>")
+    crowded = common.table(entries.groupBy("space", "code").count().where(F.col("count") > room), "crowded-leaves", few=True)
     chunks = F.ceil(F.col("count") / room).cast("int")
     mine = F.coalesce(F.pmod(F.xxhash64("rep"), chunks.cast("long")).cast("int"), F.lit(0))
     dealt = entries.join(crowded, ["space", "code"], "left").withColumn("other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
@@ -220,7 +226,7 @@ def near_duplicates(
             out = [(n, None, int(s)) for n, s in zip(names, np.concatenate([sa, sb]).tolist(), strict=True) if s] + [(names[x], names[y], 0) for x, y in edges]
             if out:
                 cols = list(zip(*out, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["a", "b", "n"])
             return None
 
         for batch in batches:
@@ -234,11 +240,12 @@ def near_duplicates(
             yield out
 
     tiles = dealt.repartition("space", "code", "i", "j").sortWithinPartitions("space", "code", "i", "j")
-    found = common.table(tiles.mapInArrow(compare, "a long, b long, n long"), "links")
+    found = common.table(tiles.mapInArrow(compare, "a binary, b binary, n long"), "links")
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    classes = reduce(lambda x, y: x.join(y, "rep", "left"), [groups.select("h1", "h2", "rep", "copies"), linked, joined])
-    classes = classes.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    classes = reduce(lambda x, y: x.join(y, "rep", "left"), [groups.select("h1", "h2", "rep", "least", "copies"), linked, joined])
+    classes = common.table(classes.select("h1", "h2", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("grp")), "classes")
+    classes = classes.join(classes.groupBy("grp").agg(F.min("least").alias("component")), "grp").select("h1", "h2", "n", "component")
     met = rows.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return met.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from orweave.llm import common, queries, rp_forest
 
@@ -63,10 +66,53 @@ def test_copies_ties_and_empty_table(spark):
     schema = "vec_id long, embedding array<float>, label int"
     frame = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (3, [1.0, 0.0], 2), (None, [0.0, 1.0], 1), (9, [0.1, 1.0], 1)], schema)
     found = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rp_forest.near_duplicates(frame).collect())
-    assert found == [(0, 0, 0, True), (3, 0, 3, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (9, 0, 9, True)]
+    assert found == [(0, 1, 9, True), (3, 0, 3, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (9, 1, 9, True)]
     assert rp_forest.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    at = lambda *degrees: [[math.cos(math.radians(d)), math.sin(math.radians(d))] for d in degrees]
+    rows = [(i, v, 1) for i, v in zip([1, None, 2, None, None, None], at(0, 20, 40, 90, 90, 91), strict=True)]
+    found = rp_forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in found if r.component_id) == [(0, 2, 1), (1, 1, 1), (2, 1, 1)]
+    assert [r.n_links for r in found if r.component_id is None] == [2, 2, 2] and all(r.kept for r in found if r.vec_id is None)
+
+
+def planted(n, dim, seed=11):
+    """Vectors of one hot label and others, some pairs at cosine 0.93 and above, and a chain of copies."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = unit(rng.standard_normal((n, dim)))
+    pick = rng.choice(n, n // 20, replace=False)
+    side = rng.standard_normal((len(pick), dim))
+    side = unit(side - (side * rows[pick]).sum(1)[:, None] * rows[pick])
+    cosine = rng.uniform(0.931, 0.96, len(pick))[:, None]
+    rows = np.concatenate([rows, cosine * rows[pick] + np.sqrt(1 - cosine**2) * side])
+    label = np.where(np.arange(n) % 3 == 0, 0, np.arange(n) % 7)
+    return rows, np.concatenate([label, label[pick]])
+
+
+def test_the_query_links_planted_pairs_across_trees(spark, tmp_path):
+    """50,000 vectors: labels of several thousand, so that production settings grow trees; all pairs by brute force."""
+    rows, label = planted(47_620, 64)
+    spark.createDataFrame(pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(list(rows.astype(np.float32))), "label": label.astype(np.int32)})).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in queries.op7_embedding_dedup(spark, str(tmp_path)).collect()}
+    rows = rows.astype(np.float32).astype(np.float64)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    links, mates = np.zeros(len(rows), int), []
+    for x in range(7):
+        at = np.flatnonzero(label == x)
+        for some in np.array_split(at, max(1, len(at) // 2000)):
+            i, j = np.nonzero(rows[some] @ rows[at].T >= 0.93)
+            real = some[i] != at[j]
+            np.add.at(links, some[i[real]], 1)
+            mates += list(zip(some[i[real]].tolist(), at[j[real]].tolist(), strict=True))
+    got = np.array([found[i][0] for i in range(len(rows))])
+    assert rp_forest.shape(int(np.bincount(label).max()), 128)[1] >= 8 and links.sum() > 4000
+    assert (got <= links).all() and got.sum() >= 0.99 * links.sum()
+    assert np.mean([found[a][1] == found[b][1] for a, b in mates]) >= 0.99
+
+
 @pytest.mark.parametrize("dim", [16, 64])
 @pytest.mark.parametrize("n", [60_000, 300_000])
 def test_recall_of_the_production_forest(n, dim):
@@ -80,7 +126,7 @@ def test_recall_of_the_production_forest(n, dim):
     side = unit(side - (side * rows[pick]).sum(1)[:, None] * rows[pick])
     cosine = rng.uniform(threshold, threshold + 0.02, m)[:, None]
     mates = cosine * rows[pick] + np.sqrt(1 - cosine**2) * side
-    trees, depth = rp_forest.shape(n, 256)
+    trees, depth = rp_forest.shape(n, 128)
     spill = rp_forest.spill_of(threshold, dim)
     splits = rp_forest.fit(rows[rng.choice(n, 32_768, replace=False)], dim, trees, depth, spill)
     ours, theirs = (set(zip(*(x.tolist() for x in rp_forest.leaves(v, splits, depth, spill)), strict=True)) for v in (rows[pick], mates))
