@@ -1,24 +1,25 @@
-"""Benchmark decontamination with a positional inverted index, distributed by document.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is indexed in segments: each task turns its documents, some at a time, into postings
-(for each test term the positions at which it stands, over the segment's documents laid end to
-end) and answers all windows from them. A window's candidates are the postings of its rarest
-term in the segment, shifted by the term's offset; they are intersected with the shifted
-postings of its other terms, from rare to frequent, until the window's exact occurrences remain.
-``nearby`` asks postings for proximity: all distinct terms of an item within so many words, so that
-inserted and swapped words hide nothing.
+``index`` stores the postings of every training token: the corpus is parted into segments of about
+``SEGMENT_WORDS`` words of whole documents, and a segment is one row of a written table: its terms, how
+often each stands, and its positions, by term and ascending, over the segment's documents laid end to
+end. The index knows nothing of any test set and serves all.
 
-Postings hold test terms alone, so they differ from block to block of the test set; they are made
-in each pass and not stored.
+``hits`` answers phrases from the stored lists alone. A window's candidates are the postings of its
+rarest term in the segment, shifted by the term's offset; they are intersected with the shifted
+postings of its other terms, from rare to frequent, until the window's exact occurrences remain.
+``nearby`` asks the same lists for proximity: all distinct terms of an item within so many words, so
+that inserted and swapped words hide nothing.
 
 Terms are the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. The
-test set travels to the segments in blocks of at most ``block_words`` words, however large it is;
-a corpus pass per block, hits of all blocks joined per document.
-
-Defined cases: a null or empty text has no words and no hits; items without words match nothing;
-items shorter than a window are one window; equal item ids count once per id, equal items once
-per item; windows of an item with a null id are hits that name no item; repeated documents are rows of their own; an empty corpus gives no rows and an empty
-test set no hits; the documents' columns travel in one struct, so names never clash.
+test set travels to the segments in blocks of about ``block_words`` words (an item that is longer is a
+block), however large it is: a pass over the index for each block, hits of all blocks joined per document.
+
+Defined cases: a null or empty text has no words and no hits; very long texts are indexed whole, a
+segment holds one at least; items without words match nothing; items shorter than a window are one
+window; equal item ids count once per id, equal items once per item; windows of an item with a null id
+are hits that name no item; repeated documents are rows of their own; an empty corpus gives no rows
+and an empty test set no hits; the documents' columns travel in one struct, so names never clash.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orweave.llm import common
 
@@ -45,12 +49,13 @@ class Windows:
     """The distinct windows of some test items, as rows of term numbers."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
-        self.size, self.terms = size, {}
+        self.size, terms = size, {}
         of: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
+            ids = [terms.setdefault(w, len(terms)) for w in words(text)]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
                 of.setdefault(tuple(ids[at : at + size]), set()).add(item)
+        self.terms = pa.array(list(terms), pa.binary())
         self.items = [sorted(x - {None}) for x in of.values()]
         self.lengths = np.fromiter(map(len, of), np.int64, len(of))
         self.padded = np.full((len(of), size), -1, np.int64)
@@ -59,33 +64,60 @@ class Windows:
 
 
 class Segment:
-    """Postings of the test terms over documents laid end to end, parted so that no phrase spans two."""
-
-    def __init__(self, docs: list[list[bytes]], terms: dict[bytes, int], gap: int):
-        self.lengths = np.array([len(d) for d in docs], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + gap)])
-        get = terms.get
-        ids = np.full(int(self.starts[-1]), -1, np.int32)
-        for d, at in zip(docs, self.starts.tolist(), strict=False):
-            ids[at : at + len(d)] = np.fromiter((get(w, -1) for w in d), np.int32, len(d))
-        self.ids = ids
-        where = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[where], kind="stable")
-        self.positions = where[order]
-        self.bounds = np.searchsorted(ids[where][order], np.arange(len(terms) + 1))
+    """Postings over documents laid end to end, a free place after each, so that no phrase spans two.
+
+    ``keys`` are number of the term and position of every posting as one integer each, ascending.
+    """
+
+    def __init__(self, starts: np.ndarray, terms: pa.Array, counts: np.ndarray, positions: np.ndarray):
+        self.starts, self.terms = starts, terms
+        self.lengths = np.diff(starts) - 1
+        self.bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        self.positions = positions.astype(np.int64)
+        self.keys = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) + self.positions
+
+    @staticmethod
+    def of(docs: list[list[bytes]]) -> Segment:
+        lengths = np.array([len(d) for d in docs], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        coded = pa.array([w for d in docs for w in d], pa.binary()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        where = np.arange(len(codes)) + np.repeat(np.arange(len(docs)), lengths)
+        return Segment(starts, coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary)), where[order])
+
+    def pack(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """starts, terms, counts and positions; the bytes of positions by their weight, so that they compress."""
+        planes = self.positions.astype("<u4").view(np.uint8).reshape(-1, 4).T
+        return self.starts.astype("<i8").tobytes(), b" ".join(self.terms.to_pylist()), np.diff(self.bounds).astype("<u4").tobytes(), planes.tobytes()
+
+    @staticmethod
+    def unpack(starts: bytes, terms: bytes, counts: bytes, positions: bytes) -> Segment:
+        planes = np.ascontiguousarray(np.frombuffer(positions, np.uint8).reshape(4, -1).T)
+        return Segment(np.frombuffer(starts, "<i8"), pa.array(terms.split(), pa.binary()), np.frombuffer(counts, "<u4"), planes.view("<u4").reshape(-1))
+
+    def find(self, terms: pa.Array) -> np.ndarray:
+        """Numbers in this segment of terms; -1 for those that don't stand in it."""
+        return pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy().astype(np.int64)
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.bounds[term] : self.bounds[term + 1]]
 
     def phrases(self, w: Windows) -> tuple[np.ndarray, np.ndarray]:
         """(window number, position of its first word) of every occurrence of every window."""
-        counts = np.append(np.diff(self.bounds), np.iinfo(np.int64).max)  # the last, for the pad, sorts behind all
-        alive = np.flatnonzero(counts[w.padded].min(axis=1, initial=1) > 0)  # windows all of whose terms are here
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not len(w.lengths) or not len(self.positions):
+            return none
+        found = np.append(self.find(w.terms), -2)  # the last is the pad
+        local = found[w.padded]
+        alive = np.flatnonzero((local != -1).all(axis=1))  # windows all of whose terms are here
         if not len(alive):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        padded = w.padded[alive]
-        order = np.argsort(counts[padded], axis=1, kind="stable")
-        rarest = np.take_along_axis(padded, order[:, :1], 1)[:, 0]
+            return none
+        local = local[alive]
+        counts = np.append(np.diff(self.bounds), [0, np.iinfo(np.int64).max])  # -2, the pad, sorts behind all
+        counts[-2], counts[-1] = counts[-1], 0
+        order = np.argsort(counts[local], axis=1, kind="stable")
+        rarest = np.take_along_axis(local, order[:, :1], 1)[:, 0]
         n = counts[rarest]
         which = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -94,15 +126,17 @@ class Segment:
             if not len(which):
                 break
             offset = order[which, k]
-            need, there = padded[which, offset], at + offset
-            ok = (need < 0) | (at >= 0) & (there < len(self.ids)) & (self.ids[np.clip(there, 0, len(self.ids) - 1)] == need)
+            term = local[which, offset]
+            asked = (term << 32) + at + offset
+            there = self.keys[np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)] == asked
+            ok = (term < 0) | (at >= 0) & there
             which, at = which[ok], at[ok]
         return alive[which], at
 
     def near(self, terms: list[int], within: int) -> list[tuple[int, int]]:
         """The least spans (first, last position) of at most ``within`` words of one document that hold all terms."""
-        lists = [self.postings(t) for t in set(terms)]
-        if not lists or not all(map(len, lists)):
+        lists = [self.postings(t) for t in set(terms) if t >= 0]
+        if len(lists) < len(set(terms)) or not lists:
             return []
         rare = min(lists, key=len)
         last = np.unique(np.concatenate(lists))
@@ -118,10 +152,8 @@ class Segment:
         return [s for i, s in enumerate(out) if not any(s[0] <= x <= y <= s[1] and (x, y) != s for x, y in out[max(0, i - 1) : i + 2])]
 
 
-def search(docs: list[bytes | None], w: Windows) -> list[tuple[int, list[int], list[int], list[str]]]:
+def search(s: Segment, w: Windows) -> list[tuple[int, list[int], list[int], list[str]]]:
     """For each document: number of words, starts and ends of merged hit spans, and items that occur."""
-    split = [words(d) for d in docs]
-    s = Segment(split, w.terms, w.size)
     which, at = s.phrases(w)
     doc = np.searchsorted(s.starts, at, "right") - 1
     out: list = [(int(n), [], [], []) for n in s.lengths]
@@ -143,7 +175,7 @@ def search(docs: list[bytes | None], w: Windows) -> list[tuple[int, list[int], l
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int):
-    """The test set in blocks of bounded size, one at a time on the driver; long items go in shared parts."""
+    """The test set in blocks of bounded size, one at a time on the driver; an item beyond it is a block of its own."""
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     size, block = 0, []
     for r in rows.toLocalIterator():
@@ -168,13 +200,38 @@ def _segments(texts):
         at = to
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000) -> DataFrame:
-    """doc (struct of the input's columns), n_words, firsts, ends (spans of hit words), items (ids as strings)."""
+PACKED = ["starts", "terms", "counts", "positions"]
+
+
+def index(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The stored index of a corpus: segment, docs (structs of the input's columns but the text, in order) and the packed lists."""
     spark = docs.sparkSession
     common.ship(spark)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    schema = rows.schema
-    out = schema.simpleString()[len("struct<") : -1].replace(":", " ", 1) + ", n_words long, firsts array<int>, ends array<int>, items array<string>"
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    schema = rows.select(F.lit(0).cast("long").alias("segment"), F.array("doc").alias("docs"), *[F.lit(b"").alias(c) for c in PACKED]).schema
+
+    def run(batches):
+        made = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at, to in _segments(batch.column(1)):
+                packed = Segment.of([words(t) for t in batch.column(1).slice(at, to - at).to_pylist()]).pack()
+                some = pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), batch.column(0).slice(at, to - at))
+                yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), some, *(pa.array([x], pa.binary()) for x in packed)], names=["segment", "docs", *PACKED])
+                made += 1
+
+    return common.table(rows.mapInArrow(run, schema), "postings")
+
+
+def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000, postings: DataFrame | None = None) -> DataFrame:
+    """doc (struct of the input's columns but the text), n_words, firsts, ends (spans of hit words), items (ids as strings).
+
+    ``postings``: the index of docs, if it is there already.
+    """
+    spark = docs.sparkSession
+    postings = index(docs, text_col) if postings is None else postings
+    doc = postings.select(F.get("docs", F.lit(0)).alias("doc")).schema["doc"]
+    out = T.StructType([T.StructField("segment", T.LongType()), T.StructField("nth", T.IntegerType()), doc]).add("n_words", "long").add("firsts", T.ArrayType(T.IntegerType())).add("ends", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
 
     def one(block) -> DataFrame:
         shared = spark.sparkContext.broadcast(Windows(block, size))
@@ -182,24 +239,22 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "tex
         def run(batches):
             w = shared.value
             for batch in batches:
-                doc = batch.column(0)
-                texts = batch.column(1)
-                for at, to in _segments(texts):
-                    found = search(texts.slice(at, to - at).to_pylist(), w)
-                    cols = list(zip(*found, strict=True))
+                packed = [c.to_pylist() for c in batch.columns[2:]]
+                for i, segment in enumerate(batch.column(0).to_pylist()):
+                    found = search(Segment.unpack(*(c[i] for c in packed)), w)
+                    cols, n = list(zip(*found, strict=True)), len(found)
                     yield pa.RecordBatch.from_arrays(
-                        [doc.slice(at, to - at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string()))],
-                        names=["doc", "n_words", "firsts", "ends", "items"],
+                        [pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), batch.column(1).slice(i, 1).flatten(), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.string()))],
+                        names=out.names,
                     )
 
-        return rows.select("doc", F.col("doc").getField(text_col).cast("binary").alias("text")).mapInArrow(run, out)
+        return postings.select("segment", "docs", *PACKED).mapInArrow(run, out)
 
     parts = [one(b) for b in _blocks(items, item_col, item_text, block_words)]
     if len(parts) == 1:
-        return parts[0]
-    # Several blocks: only documents with hits meet, by a 128-bit key of the row; all rows come from the first pass.
-    key = [F.xxhash64(F.to_json("doc")).alias("k1"), F.xxhash64(F.lit(1), F.to_json("doc")).alias("k2")]
-    more = reduce(DataFrame.unionByName, [p.where("size(firsts) > 0").select(*key, "firsts", "ends", "items") for p in parts]).distinct()
+        return parts[0].drop("segment", "nth")
+    # Several blocks: only documents with hits meet, by their place in the index; all rows come from the first pass.
+    more = reduce(DataFrame.unionByName, [p.where("size(firsts) > 0").select("segment", "nth", "firsts", "ends", "items") for p in parts])
     spans = F.flatten(F.transform("all", lambda x: F.arrays_zip(x["firsts"].alias("a"), x["ends"].alias("b"))))
     none = F.array().cast("array<struct<a:int,b:int>>")
 
@@ -210,46 +265,46 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "tex
         return F.when((F.size(spans) > 0) & (last["b"] >= x["a"]), F.concat(start, F.array(longer))).otherwise(F.concat(spans, F.array(x)))
 
     merged = F.aggregate(F.sort_array(spans), none, absorb)
-    joined = more.groupBy("k1", "k2").agg(F.collect_list(F.struct("firsts", "ends", "items")).alias("all"))
-    joined = joined.select("k1", "k2", merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("all.items"))).alias("items"))
+    joined = more.groupBy("segment", "nth").agg(F.collect_list(F.struct("firsts", "ends", "items")).alias("all"))
+    joined = joined.select("segment", "nth", merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("all.items"))).alias("items"))
     none = F.array().cast("array<int>")
     return (
-        parts[0].select("doc", "n_words", *key).join(joined, ["k1", "k2"], "left")
+        parts[0].select("segment", "nth", "doc", "n_words").join(joined, ["segment", "nth"], "left")
         .select("doc", "n_words", F.coalesce("spans.a", none).alias("firsts"), F.coalesce("spans.b", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     )
 
 
-def nearby(docs: DataFrame, items: DataFrame, within: int, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000) -> DataFrame:
-    """doc (struct of the input's columns), item (id as a string), first, last: the least spans of at most ``within`` words
-    of a document that hold all distinct words of an item, as positions of their first and last word.
+def nearby(docs: DataFrame, items: DataFrame, within: int, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000, postings: DataFrame | None = None) -> DataFrame:
+    """doc (struct of the input's columns but the text), item (id as a string), first, last: the least spans of at most
+    ``within`` words of a document that hold all distinct words of an item, as positions of their first and last word.
 
     Items without words match nothing; equal ids give the spans of each of their texts; spans of an item without an id
-    have a null ``item``; repeated documents have rows of their own.
+    have a null ``item``; repeated documents have rows of their own. ``postings`` as for ``hits``.
     """
     spark = docs.sparkSession
-    common.ship(spark)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    out = rows.schema.add("item", "string").add("first", "long").add("last", "long")
+    postings = index(docs, text_col) if postings is None else postings
+    out = T.StructType([postings.select(F.get("docs", F.lit(0)).alias("doc")).schema["doc"]]).add("item", "string").add("first", "long").add("last", "long")
 
     def one(block) -> DataFrame:
         terms: dict[bytes, int] = {}
         asked = {(item, frozenset(terms.setdefault(w, len(terms)) for w in words(text))) for item, text in block}
-        shared = spark.sparkContext.broadcast((terms, [(item, list(t)) for item, t in asked if t]))
+        shared = spark.sparkContext.broadcast((list(terms), [(item, list(t)) for item, t in asked if t]))
 
         def run(batches):
-            terms, asked = shared.value
+            terms, asked = pa.array(shared.value[0], pa.binary()), shared.value[1]
             for batch in batches:
-                for at, to in _segments(batch.column(1)):
-                    segment = Segment([words(t) for t in batch.column(1).slice(at, to - at).to_pylist()], terms, 1)
-                    here = np.diff(segment.bounds) > 0
+                packed = [c.to_pylist() for c in batch.columns[2:]]
+                for i in range(batch.num_rows):
+                    segment, rows = Segment.unpack(*(c[i] for c in packed)), batch.column(1).slice(i, 1).flatten()
+                    here = segment.find(terms)
                     for item, ids in asked:
-                        if here[ids].all() and (spans := segment.near(ids, within)):
+                        if (here[ids] >= 0).all() and (spans := segment.near(here[ids].tolist(), within)):
                             first, last = np.array(spans, np.int64).T
                             doc = np.searchsorted(segment.starts, first, "right") - 1
                             base = segment.starts[doc]
-                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pa.array([item] * len(doc), pa.string()), pa.array(first - base), pa.array(last - base)], names=["doc", "item", "first", "last"])
+                            yield pa.RecordBatch.from_arrays([rows.take(pa.array(doc)), pa.array([item] * len(doc), pa.string()), pa.array(first - base), pa.array(last - base)], names=["doc", "item", "first", "last"])
 
-        return rows.select("doc", F.col("doc").getField(text_col).cast("binary").alias("text")).mapInArrow(run, out)
+        return postings.select("segment", "docs", *PACKED).mapInArrow(run, out)
 
     return reduce(DataFrame.unionByName, [one(b) for b in _blocks(items, item_col, item_text, block_words)])
 

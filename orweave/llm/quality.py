@@ -136,7 +136,7 @@ def classify(
         return pd.Series(shared.value.probabilities(np.array(x.tolist(), float).reshape(-1, len(FEATURES))))
 
     part = F.coalesce("y", score("x"))
-    paths = common.table(seen.select("site", "path", part.alias("e")).groupBy("site", "path").agg(F.sum("e").alias("s"), F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("q")), "paths")
+    paths = common.table(seen.select("site", "path", part.alias("e")).groupBy("site", "path").agg(F.sum("e").alias("s"), F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("q")), "paths", few=True)
     sites = paths.groupBy("site").agg(F.sum("s").alias("site_s"), F.sum("n").alias("site_n"), F.sum("q").alias("site_q"))
     mean = sites.agg(F.coalesce(F.sum("site_s") / F.sum("site_n"), F.lit(0.5))).first()[0]
     mean = min(max(mean, 1e-3), 1 - 1e-3)
@@ -173,6 +173,11 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 def keep(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that ``judged``, what ``classify`` says of them, doesn't reject."""
-    rejected = common.table(judged.where(~F.col("accepted")).select("k1", "k2").distinct(), "rejected")
+    return without(docs, judged.where(~F.col("accepted")).select("k1", "k2"), id_col, text_col)
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose ``row_key`` isn't among ``keys`` (k1, k2)."""
+    keys = common.table(keys.distinct(), "rejected", few=True)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id_col, text_col))
-    return keyed.join(rejected, ["k1", "k2"], "left_anti").select("doc.*")
+    return keyed.join(keys, ["k1", "k2"], "left_anti").select("doc.*")

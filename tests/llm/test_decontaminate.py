@@ -48,10 +48,35 @@ def test_same_as_brute_force(spark, block):
 
 
 def test_proximity():
-    terms = {b"a": 0, b"b": 1, b"c": 2}
-    s = dec.Segment([b"a x b x x a b".split(), b"b".split(), b"a c b".split()], terms, 3)
-    assert s.near([0, 1], 3) == [(0, 2), (5, 6), (14, 16)]
-    assert s.near([0, 1, 2], 3) == [(14, 16)] and s.near([0, 1], 1) == []
+    s = dec.Segment.unpack(*dec.Segment.of([b"a x b x x a b".split(), b"b".split(), b"a c b".split(), []]).pack())
+    a, b, c, d = s.find(dec.pa.array([b"a", b"b", b"c", b"d"], dec.pa.binary())).tolist()
+    assert s.near([a, b], 3) == [(0, 2), (5, 6), (10, 12)] and d == -1
+    assert s.near([a, b, c], 3) == [(10, 12)] and s.near([a, b], 1) == [] and s.near([a, d], 3) == []
+
+
+def test_the_index_stores_every_token_and_serves_many_test_sets(spark):
+    """Lists read back from the stored table are the positions of every word of every document."""
+    items, texts = case()
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, docs int").repartition(3)
+    stored = dec.index(docs)
+    found = {}
+    for row in stored.collect():
+        s = dec.Segment.unpack(*(bytes(row[c]) for c in dec.PACKED))
+        for k, term in enumerate(s.terms.to_pylist()):
+            for p in s.postings(k).tolist():
+                d = int(dec.np.searchsorted(s.starts, p, "right")) - 1
+                found.setdefault(row.docs[d].doc_id, {})[p - int(s.starts[d])] = term.decode()
+    assert {i: [w for _, w in sorted(x.items())] for i, x in found.items()} == {i: split(t) for i, t in enumerate(texts) if split(t)}
+    for some in (items, items[:5]):
+        bench = spark.createDataFrame(some, "item_id long, text string")
+        rows = dec.hits(docs, bench, size=4, postings=stored).select("doc.doc_id", "items").collect()
+        assert {r.doc_id: sorted(r["items"]) for r in rows} == {i: brute(t, some, 4)[2] for i, t in enumerate(texts)}
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "x " * 900_000 + "a b c d"), (2, "a b c"), (3, "d")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
+    assert {r.doc.doc_id: (r.n_words, r.firsts, r.ends) for r in dec.hits(docs, bench, size=4).collect()} == {1: (900_004, [900_000], [900_004]), 2: (3, [], []), 3: (1, [], [])}
 
 
 def test_empty_tables(spark):
