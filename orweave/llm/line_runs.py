@@ -92,28 +92,27 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batc
 
     Returns doc (a struct of the input's columns), n_lines, n_dropped, kept (the new text).
     The text is read once to count and once to drop; the first pass moves hashes and counts,
-    the second hashes and positions, and a document's lines move once, to meet its positions.
+    the second hashes and positions, and a document moves once, to meet its positions.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    text = F.col("doc").getField(text_col)
-    everything = F.to_json("doc")
-    rows = rows.select("doc", F.xxhash64(text, everything).alias("k1"), F.xxhash64(F.lit(2), everything, text).alias("k2"), lines(text).alias("lines"))
-
-    counts = count_lines(docs, F.col(f"`{text_col}`"), F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(batches)))
+    text = F.col(f"`{text_col}`")
+    counts = count_lines(docs, text, F.pmod(F.xxhash64(text), F.lit(batches)))
     path = common.scratch(spark, "line-counts")
-    counts.write.partitionBy("batch").parquet(path)
+    common.few_files(counts).write.partitionBy("batch").parquet(path)
     runs = LineRuns(spark, common.scratch(spark, "line-runs"), min_docs, fanout)
     for b in range(batches):
         runs.add(spark.read.schema(SCHEMA + ", batch int").parquet(path).where(F.col("batch") == b).select("h1", "h2", "n"))
     common.remove(spark, path)
 
-    placed = rows.select("k1", "k2", F.posexplode("lines").alias("pos", "line")).select("k1", "k2", "pos", *_hashes(key(F.col("line"))))
-    found = common.table(runs.found(), "frequent-lines")  # a table: its size is known, and a hot line's rows can be split
+    # What a text loses depends on the text alone: texts meet their dropped positions by a 128-bit hash.
+    key_of = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+    placed = docs.select(*key_of, F.posexplode(lines(text)).alias("pos", "line")).select("k1", "k2", "pos", *_hashes(key(F.col("line"))))
+    found = common.table(runs.found(), "frequent-lines", few=True)  # a table: its size is known, and a hot line's rows can be split
     drops = placed.join(found, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
-    met = rows.join(drops, ["k1", "k2"], "left")
-    drop = F.coalesce("drop", F.array().cast("array<int>"))
-    n = F.size("lines")
-    keep = F.array_except(F.sequence(F.lit(0), n - 1), drop)
-    kept = F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n"))
-    return met.select("doc", n.cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"), kept.alias("kept"))
+    met = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key_of).join(drops, ["k1", "k2"], "left")
+    text = F.col("doc").getField(text_col)
+    met = met.select("doc", "drop", F.when(F.col("drop").isNotNull(), lines(text)).alias("lines"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n"))
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    return met.select("doc", F.coalesce(n, F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
