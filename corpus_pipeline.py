@@ -37,7 +37,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of the benchmark occurs."""
-    return decontaminate.hits(docs, common.read(spark, sf_dir, "benchmark"), size=10).where(F.size("firsts") == 0).select("doc.*")
+    keyed = docs.select(*quality.row_key("doc_id", "text"), "text")
+    found = decontaminate.hits(keyed, common.read(spark, sf_dir, "benchmark"), size=10).where(F.size("firsts") > 0)
+    return quality.without(docs, found.select("doc.k1", "doc.k2"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
