@@ -13,12 +13,13 @@ def _sum(x: Column, kind: str) -> Column:
 
 
 def _avg_trunc(x: Column, kind: str) -> Column:
-    """Integer average cut off towards zero, as an engine with integer division gives it."""
-    return _int_div(F.sum(x.cast("long")), F.count(x))
+    """Integer average cut off towards zero, as an engine with integer division gives it; the sum never overflows."""
+    return _int_div(F.sum(x.cast("decimal(20,0)")), F.count(x))
 
 
 def _int_div(a: Column, b: Column) -> Column:
-    return ((a - a % b) / b).cast("long")
+    """Integral quotient, exact over all 64 bits."""
+    return F.call_function("div", a, b)
 
 
 #: name -> function of (column, kind of the column)

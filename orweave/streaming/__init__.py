@@ -1,7 +1,7 @@
 """Continuous queries: one of a query's tables may be a stream.
 
-The filter is evaluated with the join-first strategy's placement, which needs no statistics of
-the stream; Catalyst still pushes what it can below the joins. Aggregating queries need an
+Atoms are evaluated at their tables, in an order that needs no statistics of the stream, and what they
+tell of the whole filter drops rows before the joins: an OR over several tables reaches the stream, too. Aggregating queries need an
 output mode of ``complete`` or ``update``, as everywhere in Structured Streaming.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from orweave.engine import Engine
 from orweave.operators.lower import Lowering
 from orweave.plans.nodes import Context, split_joins
-from orweave.plans.planners import JoinFirst
+from orweave.plans.planners import PushAtoms
 from orweave.plans.query import Query
 
 
@@ -30,5 +30,5 @@ def continuous(engine: Engine, query: str | Query) -> DataFrame:
     """A streaming DataFrame of the query's results; register the stream in the engine's catalog first."""
     query = engine.parse(query)
     root, edges = split_joins(query)
-    plan = JoinFirst(engine.config.cross_joins).plan(Context(query, root, edges, _Even(), engine.config.costs))
-    return Lowering(engine.catalog, query, root, False, engine.config.settings).run(plan)
+    plan = PushAtoms(engine.config.cross_joins).plan(Context(query, root, edges, _Even(), engine.config.costs))
+    return Lowering(engine.catalog, query, root, True, engine.config.settings).run(plan)

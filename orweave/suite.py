@@ -5,7 +5,7 @@ An entry is (query of this engine, SQL); None for the SQL where the texts are th
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "arith_int_add_promotes": ("select n_nationkey, n_nationkey + 1 as p from nation", "select n_nationkey, cast(n_nationkey as bigint) + 1 as p from nation"),
     "arith_div_double": ("select p_partkey, p_retailprice / 4 as q from part", None),
     "arith_div_int": ("select o_orderkey, o_orderkey / 7 as q from orders", "select o_orderkey, cast(o_orderkey // 7 as bigint) as q from orders"),
+    "arith_div_big": ("select n_nationkey, (n_nationkey + 9007199254740993) / 1 as q, (9007199254740993 - n_nationkey) / 3 as t from nation", "select n_nationkey, cast(n_nationkey as bigint) + 9007199254740993 as q, (9007199254740993 - cast(n_nationkey as bigint)) // 3 as t from nation"),
     "arith_mod": ("select o_orderkey, o_orderkey % 7 as r from orders", "select o_orderkey, cast(o_orderkey % 7 as bigint) as r from orders"),
     "unary_minus": ("select c_custkey, -c_acctbal as neg from customer", None),
     "neg_literal": ("select c_custkey from customer where c_acctbal < -100", None),
@@ -71,6 +72,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "like": ("select p_partkey from part where p_name like '%widget%'", None),
     "not_like": ("select p_partkey from part where p_name not like '%widget%'", None),
     "like_underscore": ("select n_nationkey from nation where n_name like 'NATION__'", None),
+    "like_backslash": ("select n_nationkey from nation where n_name + '\\' like 'NATION\\_1_\\' or n_name + '\\x' like '%_1\\_'", "select n_nationkey from nation where n_name || '\\' like 'NATION\\_1_\\' or n_name || '\\x' like '%_1\\_'"),
     "and_filter": ("select l_orderkey, l_linenumber from lineitem where l_quantity < 10 and l_discount < 0.05 and l_tax < 0.04", None),
     "or_filter": ("select l_orderkey, l_linenumber from lineitem where l_quantity < 3 or l_discount < 0.01 or l_tax < 0.01", None),
     "nested_bool": ("select l_orderkey, l_linenumber from lineitem where l_quantity < 10 and (l_discount < 0.02 or (l_tax < 0.02 and l_returnflag = 'A'))", None),
@@ -86,6 +88,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "agg_min_max_num": ("select min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_orderkey) as k from orders", None),
     "agg_min_str": ("select min(p_name) as m from part", None),
     "agg_avg_int_trunc": ("select avg_trunc(p_size) as a from part", "select cast(sum(p_size) // count(p_size) as bigint) as a from part"),
+    "agg_avg_big": ("select avg_trunc(n_nationkey + 9007199254740993) as a from nation", "select cast(sum(cast(n_nationkey as bigint) + 9007199254740993) // count(*) as bigint) as a from nation"),
     "agg_avg_double": ("select round(avg(c_acctbal), 4) as a from customer", None),
     "agg_count": ("select count(o_orderkey) as n from orders", None),
     "agg_count_star": ("select count(*) as n from lineitem where l_quantity < 5 or l_tax < 0.01", None),
@@ -101,12 +104,15 @@ SPECS = {
     "dup_atom": {frozenset({"orders", "lineitem"}): ["lineitem.l_tax < 0.03"]},
     "wide": {frozenset("rncsolp"): ["l.l_tax < 0.05"]},
 }
-_engines: dict[tuple[int, str, Config], Engine] = {}
+_engines: dict[tuple[str, str, Config], Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Engine:
-    """An engine for the folder; kept, so that its statistics are gathered once."""
-    key = id(spark), sf_dir, config
+    """An engine for the folder; kept, so that its statistics are gathered once. Those of ended applications go."""
+    app = f"{spark.sparkContext.applicationId} {spark._jsparkSession.hashCode()}"
+    for old in [k for k in _engines if k[0].split()[0] != app.split()[0]]:
+        del _engines[old]
+    key = app, sf_dir, config
     if key not in _engines:
         _engines[key] = Engine(spark, sf_dir, config)
     return _engines[key]
@@ -149,10 +155,11 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = f"{sf_dir}/event[s].parquet"  # as a pattern: a stream reads folders or patterns, not a file
     e.catalog.register("events", spark.readStream.schema(spark.read.parquet(events).schema).parquet(events))
     frame = continuous(e, EVENTS)
-    name = f"orweave_events_{abs(hash(sf_dir))}"
-    query = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")  # both are shared
+    out = f"{top.rstrip('/')}/orweave-stream-{uuid.uuid4().hex}"
+    query = frame.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(frame.schema).parquet(out)
 
 
 EVENTS = "select event_id, c_name, value from events, customer where user_id = c_custkey and ((value < 10 and c_acctbal < 500) or (event_type = 'click' and c_mktsegment = 'BUILDING'))"
