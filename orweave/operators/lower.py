@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orweave.functions.expressions import Call, Expr, Like, Not, Settings
@@ -39,14 +39,16 @@ def _costly(e: Expr) -> bool:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog, query: Query, root: Node | None, tagged: bool, settings: Settings, skip_decided: bool = True):
+    def __init__(self, catalog: Catalog, query: Query, root: Node | None, tagged: bool, settings: Settings, skip_decided: bool = True, observe: bool = False):
         self.catalog, self.query, self.root, self.tagged, self.settings, self.skip = catalog, query, root, tagged, settings, skip_decided
+        #: The rows that each node of the plan gives, counted as the query runs; counting keeps filters from moving past nodes.
+        self.observed: dict[nodes.Plan, Observation] | None = {} if observe else None
 
     def condition(self, n: Node, known: dict[str, str]) -> Column:
         """A predicate over atom columns where there are any."""
         if n.is_atom:
             return F.col(known[n.text]) if n.text in known else n.expr.lower(self.settings)[0]
-        parts = [self.condition(c, known) for c in n.children]
+        parts = [self.condition(c, known) for c in n.ordered()]
         return reduce((lambda a, b: a & b) if n.kind == AND else (lambda a, b: a | b), parts)
 
     def _proved(self, n: Node, value: bool, known: dict[str, str]) -> Column | None:
@@ -74,7 +76,7 @@ class Lowering:
 
     def _drop(self, s: State) -> State:
         """Apply what of the weakened root is new."""
-        for clause in clauses(weaken(self.root, s.known, s.true)):
+        for clause in self._ordered(weaken(self.root, s.known, s.true)):
             if clause.text not in s.applied:
                 s.frame = s.frame.where(self.condition(clause, s.known))
                 s.applied |= {clause.text}
@@ -82,7 +84,19 @@ class Lowering:
                 s.true |= {clause.text} if whole else frozenset()
         return s
 
+    @staticmethod
+    def _ordered(root: Node | None) -> list[Node]:
+        """The conjuncts of a root in the order of their evaluation."""
+        return root.ordered() if root is not None and root.kind == AND else list(clauses(root))
+
     def lower(self, p: nodes.Plan) -> State:
+        s = self._lower(p)
+        if self.observed is not None:
+            self.observed[p] = Observation()
+            s.frame = s.frame.observe(self.observed[p], F.count(F.lit(1)).alias("rows"))
+        return s
+
+    def _lower(self, p: nodes.Plan) -> State:
         if isinstance(p, nodes.Base):
             return State(scan(self.catalog, self.query.tables[p.alias], p.alias))
         if isinstance(p, nodes.Filter):
@@ -123,7 +137,9 @@ class Lowering:
         """A row goes to the first branch whose clause it meets, so bags stay bags."""
         out, before = None, []
         for branch, clause in zip(p.inputs, p.clauses, strict=True):
-            frame = Lowering(self.catalog, self.query, branch.context.root, False, self.settings).lower(branch).frame
+            below = Lowering(self.catalog, self.query, branch.context.root, False, self.settings)
+            below.observed = self.observed
+            frame = below.lower(branch).frame
             for earlier in before:
                 frame = frame.where(~F.coalesce(self.condition(earlier, {}), F.lit(False)))
             out = frame if out is None else out.unionByName(frame)
@@ -134,7 +150,7 @@ class Lowering:
         """The joined and filtered rows, with all columns of all tables."""
         s = self.lower(p)
         if self.root and self.root.text not in s.true:
-            for clause in clauses(self.root):
+            for clause in self._ordered(self.root):
                 if clause.text not in s.true:
                     s.frame = s.frame.where(self.condition(clause, s.known))
         return s.frame
