@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path
         self._frames: dict[str, DataFrame] = {}
+        self._versions: dict[str, str] = {}
         self._where: dict[str, str] = {}
         if path:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -22,7 +24,16 @@ class Catalog:
                     self._where[name.removesuffix(".parquet")] = f"{path.rstrip('/')}/{name}"
 
     def register(self, name: str, frame: DataFrame) -> None:
-        self._frames[name] = frame
+        self._frames[name], self._versions[name] = frame, uuid.uuid4().hex
+
+    def version(self, name: str) -> str:
+        """Tells one state of a table from another: place, time, files and bytes of its folder; looked up once until it is written anew."""
+        if name not in self._versions:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self._where[name])
+            system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            total = system.getContentSummary(where)
+            self._versions[name] = f"{self._where[name]} {system.getFileStatus(where).getModificationTime()} {total.getFileCount()} {total.getLength()}"
+        return self._versions[name]
 
     def names(self) -> list[str]:
         return sorted({*self._frames, *self._where})
@@ -52,3 +63,4 @@ class Catalog:
         frame.write.mode("overwrite").parquet(where)
         self._where[name] = where
         self._frames.pop(name, None)
+        self._versions.pop(name, None)
