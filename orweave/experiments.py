@@ -22,6 +22,7 @@ from orweave.suite import PLANNED
 CNF_PLANNERS = ("basic_no_opt", "tagged_pushdown", "tagged_pullup", "tagged_iter_pushdown", "tagged_combined")
 DNF_PLANNERS = ("basic_disj", *CNF_PLANNERS[1:])
 ALL_PLANNERS = ("basic", "basic_disj", "tagged_pushdown", "tagged_pullup", "tagged_iter_pushdown", "tagged_conj_pushdown", "tagged_combined")
+#: Fixed values of the published experiments.
 SWEEPS = {
     "clauses": [{"clauses": n} for n in range(2, 8)],
     "tables": [{"rows": 1e2, "tables": n} for n in range(3, 7)],

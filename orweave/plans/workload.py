@@ -1,13 +1,23 @@
-"""Generated queries of the planner experiments: a star join with a filter in DNF or CNF."""
+"""Generated queries of the planner experiments: a hub joined with satellites, under a filter in DNF or CNF."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 
+def table_name(rows: float, number: int) -> str:
+    """Number 0 may serve as the hub, the others as its satellites."""
+    return f"star{int(rows)}_{number}"
+
+
 @dataclass(frozen=True)
 class Star:
-    """``tables`` tables of one size; ``clauses`` clauses over the first two satellites, with a range filter each."""
+    """A star of ``tables`` tables of ``rows`` rows whose filter has ``clauses`` clauses.
+
+    A clause holds one range of this selectivity for each of the first ``clause_size`` satellites, over a column of
+    its own; the first ``redundant`` clauses after the first share the first satellite's column with it. ``outer`` adds
+    a range over the hub: to every clause of a DNF, as a clause of its own to a CNF.
+    """
 
     selectivity: float = 0.2
     rows: float = 1e4
@@ -18,19 +28,19 @@ class Star:
     outer: float | None = None
     cnf: bool = False
 
+    def ranges(self) -> list[list[str]]:
+        """The ranges of each clause."""
+        hub = table_name(self.rows, 0)
+        column = lambda clause, satellite: 0 if satellite == 1 and clause <= self.redundant else clause
+        found = [[f"{table_name(self.rows, s)}.even{column(c, s)} < {self.selectivity}" for s in range(1, self.clause_size + 1)] for c in range(self.clauses)]
+        if self.outer is None:
+            return found
+        extra = f"{hub}.even0 < {self.outer}"
+        return [*found, [extra]] if self.cnf else [[*c, extra] for c in found]
+
     def sql(self) -> str:
-        digits = f"{self.rows:.0e}"
-        size = digits[0] + "e" + str(int(digits.split("e")[1]))
-        names = [f"t_{size}_{i}" for i in range(self.tables)]
-        # Redundant clauses share the first satellite's column.
-        parts = []
-        for i in range(self.clauses):
-            terms = [f"{names[t]}.a{0 if t == 1 and i <= self.redundant and self.redundant else i} < {self.selectivity}" for t in range(1, self.clause_size + 1)]
-            if self.outer is not None and not self.cnf:
-                terms.append(f"{names[0]}.a0 < {self.outer}")
-            parts.append("(" + (" or " if self.cnf else " and ").join(terms) + ")")
-        if self.outer is not None and self.cnf:
-            parts.append(f"({names[0]}.a0 < {self.outer})")
-        joins = " and ".join(f"{names[0]}.pk = {n}.fk0" for n in names[1:])
-        filters = (" and " if self.cnf else " or ").join(parts)
-        return f"select {', '.join(f'min({n}.pk)' for n in names)} from {', '.join(names)} where {joins} and ({filters})"
+        hub, *satellites = (table_name(self.rows, i) for i in range(self.tables))
+        within, between = (" or ", " and ") if self.cnf else (" and ", " or ")
+        where = between.join(f"({within.join(c)})" for c in self.ranges())
+        joins = [f"{hub}.id = {s}.skew0" for s in satellites]
+        return f"select {', '.join(f'min({t}.id) as low_{t}' for t in (hub, *satellites))} from {', '.join((hub, *satellites))} where {' and '.join([*joins, f'({where})'])}"
