@@ -10,12 +10,13 @@ inside a turn, and ``unescape`` gives the texts back.
 
 Defined cases: null roles and texts are empty strings; rows of a conversation are ordered by
 turn, then role and text (null turns first); repeated rows are turns of their own; rows without
-conv_id form one conversation; an empty table gives no examples; other columns are ignored.
+conv_id form one conversation; very long texts are kept whole (a conversation's text is one value, at
+most 2 GB); an empty table gives no examples; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -37,27 +38,39 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.regexp_replace(role, r"(?s)\G((?:[^\\]|\\[^n])*+)\\n", "$1\n"))
 
 
-def examples(turns: DataFrame) -> DataFrame:
-    """conv_id, example, n_turns, text, loss_start, loss_end (code points; equal: no target)."""
+def examples(turns: DataFrame, together: int = 64) -> DataFrame:
+    """conv_id, example, n_turns, text, loss_start, loss_end (code points; equal: no target).
+
+    Where each turn ends in its conversation is a running sum, the conversation's text is put together once, and an
+    example is a prefix of it. The examples of a long conversation are dealt out ``together`` at a time, so that their
+    texts, which grow with the square of its turns, are no single task's work.
+    """
     clean = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    part = lambda t: F.struct(
-        F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END)).alias("body"),
-        F.length(escape(t["text"])).alias("chars"),
-        (t["role"] == "assistant").alias("target"),
+    body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END))
+    within = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = clean.select("*", body.alias("body")).select(
+        "conv_id",
+        "body",
+        (F.row_number().over(within) - 1).alias("pos"),
+        F.sum(F.length("body").cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.length(escape(F.col("text"))).alias("chars"),
+        (F.col("role") == "assistant").alias("target"),
+        F.lead(F.lit(1)).over(within).isNull().alias("last"),
     )
-    parts = grouped.select("conv_id", F.transform("turns", part).alias("parts"))
-    each = parts.select("conv_id", "parts", F.posexplode("parts").alias("pos", "last")).where(F.col("last.target") | (F.col("pos") == F.size("parts") - 1))
-    text = F.array_join(F.transform(F.slice("parts", F.lit(1), F.col("pos") + 1), lambda p: p["body"]), "")
-    out = each.select("conv_id", "pos", "last", text.alias("text"))
-    end = F.length("text") - len(END)
-    return out.select(
+    span = F.when(F.col("target") | F.col("last"), F.struct("pos", "upto", F.when(F.col("target"), F.col("chars")).otherwise(0).alias("chars")))
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("parts"), F.sort_array(F.collect_list(span)).alias("spans"))
+    whole = grouped.select("conv_id", F.array_join(F.transform("parts", lambda p: p["body"]), "").alias("whole"), "spans")
+    dealt = whole.where(F.size("spans") > together).select("conv_id", "whole", "spans", F.explode(F.sequence(F.lit(0), F.floor((F.size("spans") - 1) / together).cast("int"))).alias("deal"))
+    dealt = dealt.select("conv_id", "whole", F.slice("spans", F.col("deal") * together + 1, F.lit(together)).alias("spans"), "deal").repartition("conv_id", "deal").drop("deal")
+    each = whole.where(F.size("spans") <= together).unionByName(dealt).select("conv_id", "whole", F.explode("spans").alias("span"))
+    end = F.col("span.upto") - len(END)
+    return each.select(
         "conv_id",
-        F.col("pos").alias("example"),
-        (F.col("pos") + 1).cast("long").alias("n_turns"),
-        "text",
-        F.when(F.col("last.target"), end - F.col("last.chars")).otherwise(end).cast("long").alias("loss_start"),
-        end.cast("long").alias("loss_end"),
+        F.col("span.pos").alias("example"),
+        (F.col("span.pos") + 1).cast("long").alias("n_turns"),
+        F.substr("whole", F.lit(1), F.col("span.upto").cast("int")).alias("text"),
+        (end - F.col("span.chars")).alias("loss_start"),
+        end.alias("loss_end"),
     )
 
 

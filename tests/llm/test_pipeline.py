@@ -69,6 +69,37 @@ def test_encoding(spark, states):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in last}
 
 
+ODD = "doc_id long, text string, lang string, source string, ids string, kept int, k1 string, doc string, scores int"
+LONG = " ".join(f"word{i}" for i in range(60_000))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_nulls_long_texts_repeats_and_clashing_names(spark, name, stage):
+    """Columns named like the operators' own come back as they were; each stage's defined cases."""
+    rows = [(1, "a fine sentence of words.", "en", "s", "i", 1, "k", "d", 7), (2, None, None, None, None, None, None, None, None), (None, "", "en", "s", "i", 2, "k", "d", 7)]
+    rows += [(3, LONG, "en", "s", "i", 3, "k", "d", 7), (3, LONG, "en", "s", "i", 3, "k", "d", 7), (None, "Another one of some words.", None, "s", "i", 5, None, "d", 7)]
+    docs = common.table(spark.createDataFrame(rows, ODD), "odd")
+    out = common.table(stage(spark, docs, SF), "stage")
+    found = out.collect()
+    last = name == corpus_pipeline.STAGES[-1][0]
+    assert out.columns == ([c for c in docs.columns if c not in ("text", "ids", "scores")] + ["ids", "n_pieces", "scores", "round_trip"] if last else docs.columns)
+    want = {"quality classifier": None, "line dedup": 6, "SimHash near-dedup": 4}.get(name, 6)
+    if want == 6:
+        assert sorted(str((r.doc_id, r.lang, r.kept, r.k1, r.doc)) for r in found) == sorted(str((r[0], r[2], *r[5:8])) for r in rows)
+    if want == 4:  # the null and the empty text are copies, and so are the long ones; the smallest id stays
+        assert sorted((r.doc_id or 0, len(r.text or "")) for r in found) == [(0, 26), (1, 25), (2, 0), (3, len(LONG))]
+    if last:
+        assert all(r.round_trip and len(r.ids) == r.n_pieces for r in found) and sum(not r.ids for r in found) == 2
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_lines_of_repeated_rows(spark):
+    rows = [(i, f"Shared line\nown {i}") for i in range(9)] + [(9, "shared LINE ")] * 1
+    some = lambda n: {r.text for r in corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows[:n], "doc_id long, text string"), SF).collect()}
+    assert some(9) == {t for _, t in rows[:9]} and some(10) == {f"own {i}" for i in range(9)} | {""}
+
+
 def test_pairs_at_the_limit_are_found_at_the_production_constants(spark):
     """Joint recall of candidates and verification at Jaccard 0.8, for short and long texts and for repeated passages."""
     rng = random.Random(8)
