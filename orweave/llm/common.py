@@ -61,9 +61,9 @@ def size_of(df: DataFrame) -> int:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """df in no more partitions than its size calls for: three a core, or one for each 32 MB expected; for writing."""
+    """df in no more partitions than its size calls for: three a core, or one for each 8 MB expected; for writing."""
     size = size_of(df)
-    return df.coalesce(min(1 << 20, max(3 * df.sparkSession.sparkContext.defaultParallelism, size // (32 << 20)))) if size else df
+    return df.coalesce(min(1 << 20, max(3 * df.sparkSession.sparkContext.defaultParallelism, size // (8 << 20)))) if size else df
 
 
 def table_at(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, str]:

@@ -4,8 +4,9 @@ Each round hangs every node's larger neighbours onto its smallest neighbour (lar
 every node's smaller neighbours onto the smallest of them (small star), until the edges are
 stars around the smallest member of each component. A round is two aggregations and two
 equi-joins; no neighbour list is ever gathered in one row. The edges of a round are a written table,
-which cuts the lineage; smallest neighbours are kept on disk within their round, so that a hub with a
-third of all edges is a skewed join of two plain tables, which Spark splits.
+which cuts the lineage; smallest neighbours are kept on disk within their round, gathered into fewer
+partitions than they were dealt out to, so that the join doesn't rest on how they were: a hub with a third
+of all edges is a skewed join of two sides that are shuffled for it, which Spark splits.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     """One star step over edges (a, b), a > b: the new edges, and what to release once they are there."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).persist(StorageLevel.DISK_ONLY)
+        least = common.few_files(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))).persist(StorageLevel.DISK_ONLY)
         hung = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).persist(StorageLevel.DISK_ONLY)
+        least = common.few_files(edges.groupBy("a").agg(F.min("b").alias("m"))).persist(StorageLevel.DISK_ONLY)
         hung = edges.join(least, "a").select("a", "b", "m")
         hung = hung.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
     return hung.where("a != b").distinct(), least

@@ -1,20 +1,25 @@
-"""Main text of web pages: page structure first, a host-wide suffix array for what it leaves open.
+"""Main text of web pages: a suffix array over all pages of a host, guarded by page structure.
 
-Structure. A page is cut into blocks. Blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (by tag, role, or a word of their class or id) are dropped.
-If the page marks its article (``<article>``, else ``<main>``, else a container named as
-content), its blocks are the text.
+Blocks. A page is cut into blocks of text, with what its structure says of each: inside menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments (by tag, role, or a word of their class or
+id), inside a marked article (``<article>``, else ``<main>``, else a container named as content), or nothing.
 
-Suffix array. Pages that mark no article are read as streams of words. The suffixes of all
-streams of a host are ordered by their first ``run`` words, which is all that finding repeats of
-at least that length needs; a suffix whose prefix also starts one of another page of the host
-marks ``run`` words as boilerplate. Marked words go, unique runs stay. The order is kept as
-128-bit hashes and found by aggregation, so a host with a third of all pages is no single task.
+Suffix array. The blocks of all pages of a host, dropped ones too, are its token streams. A suffix starts at
+every block; its key is the shortest sequence of whole blocks from there that holds ``run`` words, which is
+all that finding repeats of that length needs. Suffixes are put in order by host and a 64-bit hash of the
+key, and equal neighbours are counted: a key that stands on at least half of a host's pages, and on
+``least`` of unlike content (by a sketch of 64 bits, which never counts too many), covers its blocks. The
+order is made by aggregation, so a host with a third of all pages is no single task, and a host has at most
+twice as many such keys as a page has blocks.
+
+Text. Covered blocks go, and so do those that structure drops; what stands in a marked ``<article>`` or
+``<main>`` is guarded from the array, since articles may share passages. Of a page that marks an article only
+that is taken. Unique runs of blocks stay, and so does a passage that a few pages share.
 
 Defined cases: a null or empty page has an empty text; unclosed elements end with their parent,
-unclosed scripts and comments with the page; repeated rows count as one page and each returns
-its text; null urls share one host; an empty table gives no rows; the input's columns travel in
-one struct.
+unclosed scripts and comments with the page; very long pages are read whole; repeated rows count towards
+half of the host but not as unlike content, and each returns its text; null urls share one host; an empty
+table gives no rows; the input's columns travel in one struct, so names never clash.
 """
 
 from __future__ import annotations
@@ -78,9 +83,9 @@ def _judge(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
     return drop, level
 
 
-def parse(page: str) -> tuple[int, list[str]]:
-    """(what the text is taken from, its blocks). OPEN: the page marks no article."""
-    blocks: dict[int, list[str]] = {ARTICLE: [], MAIN: [], CONTENT: [], OPEN: []}
+def parse(page: str) -> tuple[int, list[tuple[str, bool, frozenset]]]:
+    """(what the text is taken from, the blocks: text, dropped, marks it stands in). OPEN: the page marks no article."""
+    blocks: list[tuple[str, bool, frozenset]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, dropped with all it holds, level
     dropped, level, parts, at = False, OPEN, [], 0
 
@@ -88,12 +93,8 @@ def parse(page: str) -> tuple[int, list[str]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
-            if text and not dropped:
-                for x in {OPEN, level} if level else {OPEN}:
-                    blocks[x].append(text)
-                for x in (MAIN, CONTENT):
-                    if x != level and any(s[2] == x for s in stack):
-                        blocks[x].append(text)
+            if text:
+                blocks.append((text, dropped, frozenset(x[2] for x in stack) if not dropped else frozenset()))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -142,70 +143,72 @@ def parse(page: str) -> tuple[int, list[str]]:
     if at < len(page):
         parts.append(page[at:])
     flush()
-    best = next((x for x in (ARTICLE, MAIN, CONTENT) if blocks[x]), OPEN)
-    return best, blocks[best]
-
-
-def suffixes(blocks: list[str], run: int) -> list[tuple[int, int]]:
-    """128-bit hash of the first ``run`` words of every suffix of the page's stream that has as many."""
-    words = " ".join(blocks).split(" ")
-    out = []
-    for i in range(len(words) - run + 1):
-        h = xxhash.xxh3_128_intdigest(" ".join(words[i : i + run]))
-        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+    seen = frozenset().union(*(marks for _, _, marks in blocks))
+    return next((x for x in (ARTICLE, MAIN, CONTENT) if x in seen), OPEN), blocks
+
+
+def keys(blocks: list[str], run: int) -> list[tuple[int, int]]:
+    """(64-bit hash of the key, first block behind it) of every suffix, by its first block; keys shorter than ``run`` words hash to 0."""
+    sizes = [b.count(" ") + 1 for b in blocks]
+    out, to, size = [], 0, 0
+    for at in range(len(blocks)):
+        while size < run and to < len(blocks):
+            size += sizes[to]
+            to += 1
+        out.append((xxhash.xxh3_64_intdigest("\n".join(blocks[at:to])) - (1 << 63) if size >= run else 0, to))
+        size -= sizes[at]
     return out
 
 
-def unique_runs(blocks: list[str], covered: list[int], run: int) -> list[str]:
-    """The blocks without the words that a repeat starting at a covered position spans."""
-    gone = np.zeros(sum(b.count(" ") + 1 for b in blocks) + run, bool)
-    for at in covered:
-        gone[at : at + run] = True
-    out, at = [], 0
-    for b in blocks:
-        words = b.split(" ")
-        if kept := [w for i, w in enumerate(words, at) if not gone[i]]:
-            out.append(" ".join(kept))
-        at += len(words)
-    return out
+def text_of(page: str, covering: set[int], run: int) -> str:
+    """The text of a page of a host where these keys cover their blocks."""
+    best, blocks = parse(page)
+    gone = [dropped or best not in marks and best != OPEN for _, dropped, marks in blocks]
+    if covering and best in (CONTENT, OPEN):
+        for at, (key, to) in enumerate(keys([b for b, _, _ in blocks], run)):
+            if key in covering:
+                gone[at:to] = [True] * (to - at)
+    return "\n\n".join(b for (b, _, _), out in zip(blocks, gone, strict=True) if not out)
 
 
-def extract(pages: DataFrame, run: int = 8, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """doc (struct of the input's columns but the html), text."""
-    spark = pages.sparkSession
-    common.ship(spark)
-    rest = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col])
-    rows = pages.select(rest.alias("doc"), F.col(html_col).cast("binary").alias("html"))
-    schema = rows.select("doc", F.lit(0).alias("level"), F.array(F.lit("")).alias("blocks")).schema
+def host_of(url):
+    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
 
-    def cut(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = [parse((x or b"").decode("utf-8", "replace")) for x in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=["doc", "level", "blocks"])
-
-    parsed = rows.mapInArrow(cut, schema)
-    marked = parsed.where((F.col("level") > OPEN) | (F.size("blocks") == 0)).select("doc", F.array_join("blocks", "\n\n").alias("text"))
 
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("doc").getField(url_col).cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    left = common.table(parsed.where((F.col("level") == OPEN) & (F.size("blocks") > 0)).select("doc", "blocks", host.alias("host"), F.xxhash64(F.to_json("doc"), "blocks").alias("page")), "open-pages")
+def repeats(pages: DataFrame, run: int = 8, least: int = 5, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """host, covering: the keys that cover blocks of a host, as its suffix array tells."""
+    common.ship(pages.sparkSession)
 
-    def order(batches):
+    def suffixes(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                if found := suffixes(row["blocks"], run):
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["host"]] * n), pa.array([row["page"]] * n), pa.array(range(n), pa.int32()), pa.array([h[0] for h in found], pa.int64()), pa.array([h[1] for h in found], pa.int64())], names=["host", "page", "pos", "h1", "h2"])
-
-    starts = left.select("host", "page", "blocks").mapInArrow(order, "host string, page long, pos int, h1 long, h2 long")
-    repeated = starts.groupBy("host", "h1", "h2").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a != b").select("host", "h1", "h2")
-    covered = starts.join(repeated, ["host", "h1", "h2"], "left_semi").groupBy("page").agg(F.collect_set("pos").alias("covered"))
-    met = left.join(covered, "page", "left").select("doc", "blocks", F.coalesce("covered", F.array().cast("array<int>")).alias("covered"))
+            for some in common.slices(batch, 1):
+                hosts, found, bits = [], [], []
+                for host, page in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    blocks = [b for b, _, _ in parse((page or b"").decode("utf-8", "replace"))[1]]
+                    mine = {k for k, _ in keys(blocks, run)} - {0} | {0}  # 0 counts the page
+                    hosts += [host] * len(mine)
+                    found += mine
+                    bits += [1 << xxhash.xxh3_64_intdigest("\n".join(blocks)) % 64] * len(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64))], names=["host", "key", "bits"])
+
+    rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).cast("binary").alias("html"))
+    array = rows.mapInArrow(suffixes, "host long, key long, bits long").groupBy("host", "key").agg(F.count("*").alias("n"), F.bit_or("bits").alias("bits"))
+    array = common.table(array.where((F.bit_count("bits") >= least) | (F.col("key") == 0)), "suffixes", few=True)
+    whole = array.where("key = 0").select("host", F.col("n").alias("all"))
+    return array.where("key != 0").join(whole, "host").where("2 * n >= all").groupBy("host").agg(F.collect_list("key").alias("covering"))
+
+
+def extract(pages: DataFrame, run: int = 8, least: int = 5, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """doc (struct of the input's columns but the html), text."""
+    covering = common.table(repeats(pages, run, least, html_col, url_col), "covering", few=True)
+    rest = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col])
+    rows = pages.select(rest.alias("doc"), F.col(html_col).cast("binary").alias("html"), F.xxhash64(host_of(F.col(f"`{url_col}`"))).alias("host"))
+    met = rows.join(covering, "host", "left").select("doc", "html", "covering")
 
-    def keep(batches):
+    def cut(batches):
         for batch in batches:
-            texts = ["\n\n".join(unique_runs(b, c, run)) for b, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
+            for some in common.slices(batch, 1):
+                texts = [text_of((x or b"").decode("utf-8", "replace"), set(c or ()), run) for x, c in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
 
-    return marked.unionByName(met.mapInArrow(keep, marked.schema))
+    return met.mapInArrow(cut, met.select("doc", F.lit("").alias("text")).schema)

@@ -86,18 +86,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.drop_lines(docs, min_docs=10).select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {
-    "op1_token_files": op1_token_files,
-    "op2_chat_format": op2_chat_format,
-    "op3_html_text": op3_html_text,
-    "op4_language": op4_language,
-    "op5_sentence_pieces": op5_sentence_pieces,
-    "op6_quality": op6_quality,
-    "op7_embedding_dedup": op7_embedding_dedup,
-    "op8_simhash": op8_simhash,
-    "op9_decontaminate": op9_decontaminate,
-    "op10_line_dedup": op10_line_dedup,
-}
+def _few(query):
+    """The query, its result in no more partitions than its size calls for."""
+    return lambda spark, sf_dir: common.few_files(query(spark, sf_dir))
+
+
+QUERIES = {q.__name__: _few(q) for q in (op1_token_files, op2_chat_format, op3_html_text, op4_language, op5_sentence_pieces, op6_quality, op7_embedding_dedup, op8_simhash, op9_decontaminate, op10_line_dedup)}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
