@@ -28,7 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal rows (id and text) share a verdict; without labels of both kinds all stay.
     """
-    return quality.keep(docs, quality.classify(docs, common.read(spark, sf_dir, "labels")))
+    return common.few_files(quality.keep(docs, quality.classify(docs, common.read(spark, sf_dir, "labels"))))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     rows = line_runs.drop_lines(docs, min_docs=10)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    rows = common.few_files(rows)
     return rows.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
@@ -47,7 +48,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Texts without words are copies of each other.
     """
     wide = common.table(simhash.groups(docs, SHINGLE, BITS, RADIUS, TABLES, bands=BANDS), "wide-groups")
-    return simhash.representatives(docs, simhash.verified(docs, wide, SHINGLE, RADIUS, SIMILARITY))
+    return common.few_files(simhash.representatives(docs, simhash.verified(docs, wide, SHINGLE, RADIUS, SIMILARITY)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keyed = docs.select(*quality.row_key("doc_id", "text"), "text")
     found = decontaminate.hits(keyed, common.read(spark, sf_dir, "benchmark"), size=10).where(F.size("firsts") > 0)
-    return quality.without(docs, found.select("doc.k1", "doc.k2"))
+    return common.few_files(quality.without(docs, found.select("doc.k1", "doc.k2")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The text gives way to ids, n_pieces, scores and round_trip; columns of these names give way, too.
     """
-    rows = sentence_pieces.encode(docs, _tokenizer(PIECE_FILE), n=4)
+    rows = common.few_files(sentence_pieces.encode(docs, _tokenizer(PIECE_FILE), n=4))
     made = ["ids", "n_pieces", "scores", "round_trip"]
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in {"text", *made}], *made)
 
