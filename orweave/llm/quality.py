@@ -11,8 +11,8 @@ sites shrink towards the global mean and sparse paths towards their site. A docu
 is taken out of its path and site before they serve as its prior. The posterior shifts the
 document's log odds by the log odds of its path against the global ones.
 
-Defined cases: a null text counts as empty; null sites and languages are sites of their own;
-repeated labels of an id are averaged; without labels of both kinds every document gets the
+Defined cases: a null text counts as empty; very long texts are read whole; null sites and languages
+are sites and languages of their own; equal rows share a verdict; repeated labels of an id are averaged; without labels of both kinds every document gets the
 share of good labels (0.5 if there are none) and is kept; an empty table gives no rows; other
 columns are ignored. Judging moves no texts; ``keep`` moves them only if the rejected rows, by
 the hash of their id and text, are too many to be sent to the documents.
