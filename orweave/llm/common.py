@@ -46,6 +46,31 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    file = system.open(where)
+    try:
+        return bytes(file.readAllBytes()).decode()
+    finally:
+        file.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and put it in the place of an older one."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, where = Path(f"{path}.new"), Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    file = system.create(new, True)
+    file.write(bytearray(text.encode()))
+    file.close()
+    system.delete(where, False)
+    system.rename(new, where)
+
+
 def table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 

@@ -25,13 +25,43 @@ def test_same_as_brute_force(spark, least):
     assert {r.doc.n_lines for r in found} == set(range(len(texts)))
 
 
-def test_runs_are_compacted_and_known_keys_stay_out(spark):
-    runs = line_runs.LineRuns(spark, common.scratch(spark, "runs"), frequent=3, fanout=2)
-    for n in (2, 2, 5, 1):
-        runs.add(spark.createDataFrame([(1, 1, n), (2, n, 1)], line_runs.SCHEMA))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
+def test_runs_are_compacted_reopened_and_known_keys_stay_out(spark):
+    """Every batch through a session's view of its own: the manifest alone says what there is."""
+    path = common.scratch(spark, "runs")
+    for i, n in enumerate((2, 2, 5, 1, 1)):
+        runs = line_runs.LineRuns(spark, path, frequent=3, fanout=2, buckets=3) if not i else line_runs.LineRuns(spark, path)
+        runs.add(spark.createDataFrame([(1, 1, n), (10 + i, n, 1)], line_runs.SCHEMA))
+        runs.close()
+    runs = line_runs.LineRuns(spark, path, frequent=99)
+    assert (runs.frequent, runs.fanout, runs.buckets, [len(x) for x in runs.levels]) == (3, 2, 3, [1, 0, 1])
     assert {(r.h1, r.h2) for r in runs.found().collect()} == {(1, 1)}
-    assert runs._read(runs.names()[0]).where("h1 = 1").first().n == 4  # later batches found it sealed
+    assert {tuple(r) for r in runs.rows(runs.levels[2]).collect()} == {(1, 1, 4), *((10 + i, n, 1) for i, n in enumerate((2, 2, 5, 1)))}  # later batches found it sealed
+    runs.close()
+
+
+def test_runs_stay_where_they_are(spark):
+    """Neither a merge nor the anti-join of a batch shuffles a run; merging is by sorted buckets."""
+    runs = line_runs.LineRuns(spark, common.scratch(spark, "runs"), frequent=3, fanout=9, buckets=4)
+    for i in range(3):
+        runs.add(spark.range(500).selectExpr(f"id * {i + 1} as h1", "id as h2", "id % 4 as n"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    merged = plan(runs.merged(runs.names()))
+    assert "Exchange" not in merged and "Bucketed: true" in merged
+    batch = plan(runs.unsealed(spark.range(9).selectExpr("id as h1", "id as h2", "1L as n")))
+    assert batch.count("Exchange") == 1 and "SortMergeJoin" in batch and "Bucketed: true" in batch
+    # A key found in three documents of one batch is sealed; the keys of the batches differ but for zero.
+    assert runs.merged(runs.names()).count() == 1498 and runs.found().count() == 375
+    runs.close()
+
+
+def test_a_later_batch_counts_with_earlier_ones(spark):
+    path = common.scratch(spark, "runs")
+    texts = [f"shared\nown {i}" for i in range(8)]
+    docs = lambda some: spark.createDataFrame([(t,) for t in some], "text string")
+    first = line_runs.drop_lines(docs(texts[:2]), batches=2, runs=line_runs.LineRuns(spark, path, frequent=3)).collect()
+    assert {r.kept for r in first} == set(texts[:2])
+    again = line_runs.drop_lines(docs(texts[2:3]), batches=2, runs=line_runs.LineRuns(spark, path)).collect()
+    assert [r.kept for r in again] == ["own 2"]
 
 
 def test_empty_table(spark):
