@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from orweave.functions.expressions import Call, Expr, Like, Not, Settings
+from orweave.functions.expressions import WIDTHS, Call, Expr, Like, Not, Settings
 from orweave.functions.expressions import Column as ColumnRef
 from orweave.operators.scan import scan
 from orweave.plans import nodes
@@ -39,8 +39,9 @@ def _costly(e: Expr) -> bool:
 
 
 class Lowering:
-    def __init__(self, catalog: Catalog, query: Query, root: Node | None, tagged: bool, settings: Settings, skip_decided: bool = True, observe: bool = False):
+    def __init__(self, catalog: Catalog, query: Query, root: Node | None, tagged: bool, settings: Settings, skip_decided: bool = True, observe: bool = False, build_bytes: int | None = None):
         self.catalog, self.query, self.root, self.tagged, self.settings, self.skip = catalog, query, root, tagged, settings, skip_decided
+        self.build_bytes = build_bytes
         #: The rows that each node of the plan gives, counted as the query runs; counting keeps filters from moving past nodes.
         self.observed: dict[nodes.Plan, Observation] | None = {} if observe else None
 
@@ -125,6 +126,11 @@ class Lowering:
 
     def _join(self, p: nodes.Join) -> State:
         a, b = self.lower(p.left), self.lower(p.right)
+        if p.edges and self.build_bytes is not None:
+            side, s = (p.left, a) if p.build_left else (p.right, b)
+            parts = int(self.catalog.spark.conf.get("spark.sql.shuffle.partitions"))
+            if side.rows * sum(WIDTHS.get(f.dataType.simpleString(), 8) for f in s.frame.schema) / parts <= self.build_bytes:
+                s.frame = s.frame.hint("shuffle_hash")
         if p.edges:
             on = reduce(lambda x, y: x & y, [F.col(f"`{e.left.slot}`") == F.col(f"`{e.right.slot}`") for e in p.edges])
             frame = a.frame.join(b.frame, on)

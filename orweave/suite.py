@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,25 @@ where r.r_regionkey = n.n_regionkey and n.n_nationkey = c.c_nationkey and n.n_na
   and ((p.p_name like '%a%' and o.o_orderpriority in ('1-URGENT', '2-HIGH')) or (p.p_size between 10 and 20 and c.c_mktsegment != 'BUILDING' and l.l_tax < 0.05)
     or (not (r.r_regionkey < 3 or l.l_quantity >= 10) and o.o_orderstatus is not null))"""
 
+#: Groups of queries of one join shape, as join-order benchmarks have them: outputs, tables, joins and what each query asks besides.
+GROUPS = {
+    "suppliers": (
+        "select min(s_name) as supplier, min(p_name) as part, count(*) as n from nation n, supplier s, lineitem l, part p",
+        "n.n_nationkey = s.s_nationkey and s.s_suppkey = l.l_suppkey and p.p_partkey = l.l_partkey",
+        ["p.p_size < 10 and n.n_name like '%1%'", "p.p_size < 10 and l.l_discount > 0.08 and s.s_acctbal < 0", "p.p_size < 10 and (p.p_name like '%b%' or l.l_quantity between 40 and 45) and l.l_tax = 0.01"],
+    ),
+    "customers": (
+        "select min(c_name) as customer, max(o_orderdate) as latest, count(*) as n from region r, nation n, customer c, orders o",
+        "r.r_regionkey = n.n_regionkey and n.n_nationkey = c.c_nationkey and c.c_custkey = o.o_custkey",
+        ["o.o_orderpriority in ('1-URGENT') and c.c_mktsegment != 'BUILDING'", "r.r_regionkey = 2 and (c.c_acctbal < 0 or o.o_totalprice > 300000)", "not (c.c_acctbal > 100 or r.r_regionkey > 1)", "o.o_orderstatus = 'P' and n.n_name like 'NATION__'"],
+    ),
+    "returns": (
+        "select min(o_orderkey) as first, sum(l_quantity) as quantity, count(*) as n from customer c, orders o, lineitem l",
+        "c.c_custkey = o.o_custkey and o.o_orderkey = l.l_orderkey",
+        ["l.l_returnflag = 'R' and c.c_acctbal < 200", "l.l_returnflag = 'R' and o.o_totalprice < 30000", "l.l_returnflag = 'R' and l.l_shipdate < '1996-01-01' and c.c_mktsegment = 'BUILDING'"],
+    ),
+}
+
 QUERIES: dict[str, tuple[str, str | None]] = {
     "scan_project": ("select c_custkey, c_name, c_acctbal from customer", None),
     "select_star": ("select * from region", None),
@@ -134,6 +154,20 @@ def _combined(conjunctive: bool) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _group(name: str, how: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A group as one query that finds what any of its queries finds, or (shared) its queries over one join, numbered."""
+    head, joins, conditions = GROUPS[name]
+
+    def run(spark, sf_dir):
+        e, group = engine(spark, sf_dir), [f"{head} where {joins} and {c}" for c in conditions]
+        if how != "shared":
+            return e.run(e.combine(group, how == "conj"))
+        e.release()
+        return reduce(DataFrame.unionByName, [f.withColumn("query", F.lit(i)) for i, f in enumerate(e.run_shared(group))])
+
+    return run
+
+
 def selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir)
     q, plan, _ = e.plan("select l_orderkey from lineitem where l_quantity < 5", "basic")
@@ -177,7 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             elif planner != "basic_disj" or q in ("dnf", "wide"):
                 found[f"{q}__{planner}"] = _planned(sql, planner)
     found |= {"or_combine_disj": _combined(False), "or_combine_conj": _combined(True), "selectivity_stat": selectivity, "unique_stat": distinct, "stream_disjunction": streamed}
-    return found
+    return found | {f"group_{g}__{how}": _group(g, how) for g in GROUPS for how in ("disj", "conj", "shared")}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -188,6 +222,9 @@ def oracle_sql() -> dict[str, str]:
         if base in PLANNED and name not in found:
             found[name] = PLANNED[base]
     found |= {"or_combine_disj": DNF, "or_combine_conj": DNF, "stream_disjunction": EVENTS}
+    for g, (head, joins, conditions) in GROUPS.items():
+        found[f"group_{g}__disj"] = found[f"group_{g}__conj"] = f"{head} where {joins} and ({' or '.join(f'({c})' for c in conditions)})"
+        found[f"group_{g}__shared"] = " union all ".join(f"select *, {i} as query from ({head} where {joins} and {c})" for i, c in enumerate(conditions))
     found["selectivity_stat"] = "select avg(cast(case when l_quantity < 5 then 1 else 0 end as double)) as sel from lineitem"
     found["unique_stat"] = "select count(distinct o_custkey) as n from orders"
     return found

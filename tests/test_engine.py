@@ -193,9 +193,22 @@ def test_shared_queries(spark):
         engine.run_shared(queries)
     shared = engine.run_shared(queries[:3])
     assert [f.collect() for f in shared] == [engine.run(q, "basic").collect() for q in queries[:3]]
-    assert spark._jsparkSession.sharedState().cacheManager().isEmpty() is False
+    assert all("__q" in f._jdf.queryExecution().analyzed().toString() for f in shared)  # rows are told by their tags
+    kept = list(engine._shared)
+    assert len(kept) == 1 and kept[0].storageLevel.useDisk
     engine.release()
-    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert not engine._shared and not kept[0].storageLevel.useDisk
+
+
+def test_build_sides_are_hinted_within_their_bound(spark):
+    plan = lambda **c: Engine(spark, SF, Config(**c)).run(DNF, "tagged_pushdown")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ShuffledHashJoin" not in plan() and "ShuffledHashJoin" not in plan(build_bytes=10)
+        assert plan(build_bytes=64 << 20).count("ShuffledHashJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Engine(spark, SF, Config(build_bytes=64 << 20)).run(DNF).collect() == Engine(spark, SF).run(DNF).collect()
 
 
 def test_settings(spark):
