@@ -22,7 +22,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,10 @@ from orweave.llm.components import components
 SEED = 7
 
 
+@lru_cache(64)
 def directions(dim: int, trees: int, depth: int) -> np.ndarray:
-    """Unit directions: trees x dim x depth."""
-    r = np.random.default_rng([SEED, dim]).standard_normal((trees, dim, max(1, depth)))
+    """Unit directions: trees x dim x depth; that of a tree's level is the same however many trees and levels there are."""
+    r = np.stack([np.stack([np.random.default_rng([SEED, dim, t, level]).standard_normal(dim) for level in range(max(1, depth))], axis=1) for t in range(trees)])
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
@@ -86,9 +87,10 @@ def fit(sample: np.ndarray, dim: int, trees: int, depth: int, spill: float, leas
     return splits
 
 
-def leaves(x: np.ndarray, splits: np.ndarray, depth: int, spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf code) of every leaf of every tree that a vector falls in, by row, codes ascending."""
-    trees = len(splits)
+def leaves(x: np.ndarray, splits: np.ndarray, depth: int | np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf code) of every leaf of every tree that a vector falls in, by row, codes ascending. ``depth``: of all or of each."""
+    trees, depths = len(splits), np.broadcast_to(np.asarray(depth), len(x))
+    depth = int(depths.max(initial=0))
     r = directions(x.shape[1], trees, depth)
     rows_out, codes_out = [], []
     for t in range(trees):
@@ -97,7 +99,7 @@ def leaves(x: np.ndarray, splits: np.ndarray, depth: int, spill: float) -> tuple
         for level in range(depth + 1):
             fitted = node < splits.shape[1]
             cut = np.where(fitted, splits[t, np.where(fitted, node, 0)], 0.0)
-            ended = np.isnan(cut) | (level == depth)
+            ended = np.isnan(cut) | (level == depths[row])
             rows_out.append(row[ended])
             codes_out.append((np.int64(t) << 48) + node[ended])
             row, node, cut = row[~ended], node[~ended], cut[~ended]
@@ -174,9 +176,11 @@ def near_duplicates(
     groups = groups.select("*", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")])).alias("rep"), F.xxhash64("label", F.size("v")).alias("space"))
     members = common.table(groups.select("h1", "space", "rep", "copies", "v").mapInArrow(pack, "h1 long, h2 long, rep binary, copies long, raw binary").withColumnRenamed("h2", "space"), "vectors")
 
-    most = members.groupBy("space").count().agg(F.max("count")).first()[0] or 0
-    by_depth, depth = shape(most, leaf)
+    # Each label's trees are as deep as its vectors call for; they share their splits.
+    sizes = common.table(members.groupBy("space").agg(F.count("*").alias("of")), "label-sizes", few=True)
+    by_depth, depth = shape(sizes.agg(F.max("of")).first()[0] or 0, leaf)
     trees = trees or by_depth
+    members = members.join(sizes, "space").select("h1", "space", "rep", "copies", "raw", "of")
     chosen: dict[int, list[bytes]] = {}
     for raw in members.orderBy("h1").limit(sample).select("raw").toArrow()["raw"].to_pylist():
         chosen.setdefault(len(raw) // width, []).append(raw)
@@ -187,14 +191,15 @@ def near_duplicates(
     def index(batches):
         known, other = shared.value
         for batch in batches:
-            space, rep, copies, raw = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
+            space, rep, copies, raw, of = (batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))
+            deep = {n: shape(n, leaf)[1] for n in set(of)}
             by: dict[int, list[int]] = {}
             for i, x in enumerate(raw):
                 by.setdefault(len(x), []).append(i)
             for size, some in by.items():
                 for at in range(0, len(some), 1024):
                     part = some[at : at + 1024]
-                    row, code = leaves(units([raw[i] for i in part], dtype), known.get(size // width, other), depth, wide(size // width))
+                    row, code = leaves(units([raw[i] for i in part], dtype), known.get(size // width, other), np.array([deep[of[i]] for i in part]), wide(size // width))
                     ends = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
                     codes = code.tolist()
                     lists = [codes[ends[i] : ends[i + 1]] for i in range(len(part))]
