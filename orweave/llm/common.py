@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _scratch: list[tuple[SparkSession, str]] = []
+#: The driver's own folders, for code that it ships.
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,13 +101,27 @@ def table_at(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, st
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def mark() -> int:
+    """How many scratch paths there are; ``sweep`` can remove those that come after."""
+    return len(_scratch)
+
+
+def sweep(since: int, keep: str = "") -> None:
+    """Remove what was written to scratch paths since that mark, but for ``keep``, while their session lives."""
+    for spark, path in _scratch[since:]:
+        if path != keep:
+            remove(spark, path)
+    _scratch[since:] = [x for x in _scratch[since:] if x[1] == keep]
+
+
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _scratch:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended before: nothing can be removed through it
-            return
+    for folder in _local:
+        shutil.rmtree(folder, ignore_errors=True)
+    try:
+        sweep(0)
+    except Exception:  # the session has ended before: nothing can be removed through it
+        return
 
 
 def ship(spark: SparkSession) -> None:
@@ -113,7 +130,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_orweave_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(), "orweave_code.zip")
+    _local.append(tempfile.mkdtemp())
+    path = os.path.join(_local[-1], "orweave_code.zip")
     with zipfile.ZipFile(path, "w") as out:
         for base, _, names in os.walk(os.path.join(top, "orweave")):
             for n in names:

@@ -12,9 +12,9 @@ the prefix sum over the manifest (one row per shard). Both files are memory-mapp
 A task writes under a name of its own attempt and only the manifest row of the attempt that
 Spark commits names it, so a repeated or lost task leaves no half shard in the output.
 
-Defined cases: a null or empty text gives the end id alone; rows with equal ids keep one record
-each, ordered by a hash of the text; null ids come first; an empty table gives an empty
-manifest; further columns of the input are ignored.
+Defined cases: a null or empty text gives the end id alone; very long texts are encoded whole, each in a
+slice of its own; rows with equal ids keep one record each, ordered by a hash of the text; null ids come
+first; an empty table gives an empty manifest; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

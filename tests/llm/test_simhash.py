@@ -91,6 +91,16 @@ def test_rows_without_an_id_link_others(spark):
         assert {r.doc_id: r.component_id for r in simhash.groups(docs, 3, 64, 3).collect()} == {1: 1, 2: 1, between: 1}
 
 
+def test_very_long_texts(spark):
+    """Beyond the number of shingles that are hashed at a time: every bit by its count over all shingles."""
+    words = [f"w{i % 7919}" for i in range(60_000)]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(words) + "\t"), (3, "short")], "doc_id long, text string")
+    found = {r.doc_id: (int.from_bytes(r.fp), r.component_id) for r in simhash.groups(docs, 3, 64, 3).collect()}
+    assert found[1] == found[2] == (want, 1) and found[3][1] == 3
+
+
 def test_blocks_wider_than_a_key(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(512) for _ in range(30)]
