@@ -84,7 +84,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    docs, since = common.read(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES:
-        docs = common.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = common.table_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.sweep(since, keep=path)  # what the stage has written besides, and the stage before it
     return docs
