@@ -77,7 +77,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``few``: in few files (see ``few_files``), where the work of df is done before its last shuffle.
+    ``few``: in few files (see ``few_files``); not where each partition of df is a piece of the result.
     """
     return table_at(df, name, few)[0]
 

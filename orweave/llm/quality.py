@@ -122,7 +122,7 @@ def classify(
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(values, pa.list_(pa.float64()))], names=["doc", "x"])
 
     skinny = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), *row_key(id_col, text_col)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    seen = common.table(skinny.mapInArrow(measure, skinny.select("doc", F.array(F.lit(0.0)).alias("x")).schema), "features").select("doc.*", "x")
+    seen = common.table(skinny.mapInArrow(measure, skinny.select("doc", F.array(F.lit(0.0)).alias("x")).schema), "features", few=True).select("doc.*", "x")
     seen = seen.join(known, F.col("id") == known["doc_id"], "left").drop("doc_id")
 
     chosen = seen.where("y is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("x", "y").toArrow()

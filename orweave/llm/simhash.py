@@ -262,19 +262,20 @@ def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None =
 
     Fingerprints are linked, whatever the ids of their rows: a row without an id links others as well.
     """
-    rows = common.table(fingerprints(docs, k, bits, id_col, text_col, bands), "fingerprints")
+    rows = common.table(fingerprints(docs, k, bits, id_col, text_col, bands), "fingerprints", few=True)
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.col("fp")
     members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", node), "members", few=True)
     edges = links(members, bits, radius, tables, block_bits)
     if bands:
         # Equal fingerprints are one member, whatever their sets: the bands of all its texts count.
-        banded = common.table(rows.select(node.alias("rep"), "bands").distinct().select("rep", F.explode("bands").alias("band")), "bands")
+        banded = common.table(rows.select(node.alias("rep"), "bands", few=True).distinct().select("rep", F.explode("bands", few=True).alias("band")), "bands", few=True)
         stars = banded.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most").select("band", "b")
         stars = common.table(stars, "shared-bands", few=True)
         edges = edges.unionByName(banded.join(stars, "band").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
     found = components(edges)
     grouped = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("grp"))
-    ids = grouped.groupBy("grp").agg(F.min("least").alias("component_id"))
+    grouped = common.table(grouped, "grouped", few=True)
+    ids = common.table(grouped.groupBy("grp").agg(F.min("least").alias("component_id")), "names", few=True)  # a table: a large group's rows can be split
     named = common.table(grouped.join(ids, "grp").select("fp", "grp", "component_id"), "named", few=True)
     return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
@@ -350,7 +351,7 @@ def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarit
                 sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in part.column(5)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["g", "k1", "k2", "t", "fp", "shingles"])
 
-    sets = common.table(rows.mapInArrow(cut, "g long, k1 long, k2 long, t long, fp binary, shingles binary"), "shingle-sets")
+    sets = common.table(rows.mapInArrow(cut, "g long, k1 long, k2 long, t long, fp binary, shingles binary"), "shingle-sets", few=True)
     members = sets.dropDuplicates(["g", "t"])
     crowded = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / room).cast("int")
@@ -383,8 +384,9 @@ def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarit
     # Texts that nothing is similar to are groups of their own, and so are those that no candidate group holds.
     texts = sets.select("k1", "k2", F.col("t").alias("own")).join(found.withColumnRenamed("t", "own"), "own", "left").select("k1", "k2", F.coalesce("component", "own").alias("c"))
     named = grouped.join(texts.distinct(), ["k1", "k2"], "left").select("doc_id", "k1", "k2", "fp", F.coalesce(F.concat(F.lit("c"), "c"), F.concat(F.lit("f"), F.hex("fp"))).alias("grp"))
-    named = common.table(named, "verified")
-    return named.join(named.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "grp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
+    named = common.table(named, "verified", few=True)
+    ids = common.table(named.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "names", few=True)
+    return named.join(ids, "grp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
 
 def representatives(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
