@@ -47,7 +47,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, path: str, frequent: int = 10, fanout: int = 4, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         text = common.read_text(spark, f"{self.path}/manifest.json")
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or 2 * spark.sparkContext.defaultParallelism
         state = json.loads(text) if text else {"frequent": frequent, "fanout": fanout, "buckets": buckets, "levels": [], "made": 0}
         self.frequent, self.fanout, self.buckets, self.levels, self.made = (state[k] for k in ("frequent", "fanout", "buckets", "levels", "made"))
         self.table = f"orweave_runs_{uuid.uuid4().hex}"
@@ -93,7 +93,8 @@ class LineRuns:
 
     def unsealed(self, counts: DataFrame) -> DataFrame:
         """The rows of a batch (h1, h2, n; one per key) whose key isn't known to be frequent, dealt out by buckets."""
-        counts = counts.select("h1", "h2", "n").repartition(self.buckets, "h1", "h2")
+        # As many partitions as buckets, so that each writes one file; keys are distinct, so none of them is large.
+        counts = counts.select("h1", "h2", "n").hint("repartition", self.buckets, "h1", "h2")
         if not self.names():
             return counts
         return counts.hint("merge").join(self.rows(self.names()).where(F.col("n") >= self.frequent).select("h1", "h2"), ["h1", "h2"], "left_anti")
@@ -128,7 +129,8 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batc
     path = common.scratch(spark, "line-counts")
     common.few_files(counts).write.partitionBy("batch").parquet(path)
     own = runs is None
-    runs = LineRuns(spark, common.scratch(spark, "line-runs"), min_docs, fanout) if own else runs
+    buckets = max(2 * spark.sparkContext.defaultParallelism, common.size_of(docs) >> 30)
+    runs = LineRuns(spark, common.scratch(spark, "line-runs"), min_docs, fanout, buckets) if own else runs
     for b in range(batches):
         runs.add(spark.read.schema(SCHEMA + ", batch int").parquet(path).where(F.col("batch") == b))
     common.remove(spark, path)
