@@ -268,7 +268,7 @@ def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None =
     edges = links(members, bits, radius, tables, block_bits)
     if bands:
         # Equal fingerprints are one member, whatever their sets: the bands of all its texts count.
-        banded = common.table(rows.select(node.alias("rep"), "bands", few=True).distinct().select("rep", F.explode("bands", few=True).alias("band")), "bands", few=True)
+        banded = common.table(rows.select(node.alias("rep"), "bands").distinct().select("rep", F.explode("bands").alias("band")), "bands", few=True)
         stars = banded.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most").select("band", "b")
         stars = common.table(stars, "shared-bands", few=True)
         edges = edges.unionByName(banded.join(stars, "band").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
