@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _scratch: list[tuple[SparkSession, str]] = []
 #: The driver's own folders, for code that it ships.
 _local: list[str] = []
@@ -125,8 +126,14 @@ def _sweep() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they start."""
+    """Make this package importable in Python workers, wherever they start.
+
+    Rows go to them in Arrow batches of ``BATCH_BYTES``, unless the session says otherwise: 10,000 rows of long texts
+    are hundreds of MB on both sides.
+    """
     sc = spark.sparkContext
+    if not spark.conf._jconf.contains(BATCH):
+        spark.conf.set(BATCH, BATCH_BYTES)
     if getattr(sc, "_orweave_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
