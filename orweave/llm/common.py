@@ -75,10 +75,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     system.rename(new, where)
 
 
-def table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def table(df: DataFrame, name: str, few: int = 0) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``few``: in few files (see ``few_files``); not where each partition of df is a piece of the result.
+    ``few``: at least so many files a core, more as its size calls for (see ``few_files``): 1 where df ends with a light step
+    after a shuffle, 3 otherwise; 0, a file for each partition, where each is a piece of the result.
     """
     return table_at(df, name, few)[0]
 
@@ -89,16 +90,16 @@ def size_of(df: DataFrame) -> int:
     return size if size < 1 << 52 else 0
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in no more partitions than its size calls for: three a core, or one for each 8 MB expected; for writing."""
+def few_files(df: DataFrame, each: int = 3) -> DataFrame:
+    """df in no more partitions than its size calls for: ``each`` a core, or one for each 8 MB expected; for writing."""
     size = size_of(df)
-    return df.coalesce(min(1 << 20, max(3 * df.sparkSession.sparkContext.defaultParallelism, size // (8 << 20)))) if size else df
+    return df.coalesce(min(1 << 20, max(each * df.sparkSession.sparkContext.defaultParallelism, size // (8 << 20)))) if size else df
 
 
-def table_at(df: DataFrame, name: str, few: bool = False) -> tuple[DataFrame, str]:
+def table_at(df: DataFrame, name: str, few: int = 0) -> tuple[DataFrame, str]:
     """As ``table``, with the path, so that the caller can remove what nothing reads any more."""
     path = scratch(df.sparkSession, name)
-    (few_files(df) if few else df).write.parquet(path)
+    (few_files(df, few) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -31,6 +31,12 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     return hung.where("a != b").distinct(), least
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs onto one other, which itself hangs onto none."""
+    n, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
+    return n == nodes and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; component is its smallest node.
 
@@ -39,16 +45,12 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     spark = edges.sparkSession
-    (state, path), before = common.table_at(edges, "edges", few=True), None
-    while True:
-        n, total = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if (n, total) == before or not n:
-            break
-        before = n, total
+    state, path = common.table_at(edges, "edges", few=1)
+    while not _stars(state):
         hung, first = _star(state, True)
         hung = hung.persist(StorageLevel.DISK_ONLY)
         small, second = _star(hung, False)
-        state, new = common.table_at(small, "edges", few=True)
+        state, new = common.table_at(small, "edges", few=1)
         for old in (first, hung, second):
             old.unpersist()
         common.remove(spark, path)

@@ -220,7 +220,7 @@ def index(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), some, *(pa.array([x], pa.binary()) for x in packed)], names=["segment", "docs", *PACKED])
                 made += 1
 
-    return common.table(rows.mapInArrow(run, schema), "postings", few=True)
+    return common.table(rows.mapInArrow(run, schema), "postings", few=3)
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 250_000, postings: DataFrame | None = None) -> DataFrame:

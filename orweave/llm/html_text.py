@@ -193,14 +193,14 @@ def repeats(pages: DataFrame, run: int = 8, least: int = 5, html_col: str = "htm
 
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).cast("binary").alias("html"))
     array = rows.mapInArrow(suffixes, "host long, key long, bits long").groupBy("host", "key").agg(F.count("*").alias("n"), F.bit_or("bits").alias("bits"))
-    array = common.table(array.where((F.bit_count("bits") >= least) | (F.col("key") == 0)), "suffixes", few=True)
+    array = common.table(array.where((F.bit_count("bits") >= least) | (F.col("key") == 0)), "suffixes", few=1)
     whole = array.where("key = 0").select("host", F.col("n").alias("all"))
     return array.where("key != 0").join(whole, "host").where("2 * n >= all").groupBy("host").agg(F.collect_list("key").alias("covering"))
 
 
 def extract(pages: DataFrame, run: int = 8, least: int = 5, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """doc (struct of the input's columns but the html), text."""
-    covering = common.table(repeats(pages, run, least, html_col, url_col), "covering", few=True)
+    covering = common.table(repeats(pages, run, least, html_col, url_col), "covering", few=1)
     rest = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col])
     rows = pages.select(rest.alias("doc"), F.col(html_col).cast("binary").alias("html"), F.xxhash64(host_of(F.col(f"`{url_col}`"))).alias("host"))
     met = rows.join(covering, "host", "left").select("doc", "html", "covering")

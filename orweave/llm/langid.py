@@ -185,7 +185,7 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, order: int = 4, hash_bits: int = 64, most: int = 8_000_000) -> Model | None:
     """Models of every language among the rows (lang, text); None without any letter. Over ``most`` entries: a table."""
-    return fit(common.table(count_grams(docs.withColumn("aside", F.lit(False)), order, hash_bits), "grams", few=True), order, hash_bits, most)
+    return fit(common.table(count_grams(docs.withColumn("aside", F.lit(False)), order, hash_bits), "grams", few=1), order, hash_bits, most)
 
 
 def fit(counted: DataFrame, order: int, hash_bits: int = 64, most: int = 8_000_000) -> Model | None:
@@ -204,7 +204,7 @@ def fit(counted: DataFrame, order: int, hash_bits: int = 64, most: int = 8_000_0
     contexts = counts.groupBy("lang", "k", "context").agg(F.sum("n").alias("all"), F.sum("d").alias("mass"))
     probs = counts.join(contexts, ["lang", "k", "context"]).groupBy("lang", "k", F.col("gram").alias("key")).agg(F.max((F.col("n") - F.col("d")) / F.col("all")).alias("value"))
     weights = contexts.select("lang", (-F.col("k")).alias("k"), F.col("context").alias("key"), F.col("mass") / F.col("all"))
-    stored = common.table(probs.unionByName(weights.toDF("lang", "k", "key", "value")), "language-models", few=True)
+    stored = common.table(probs.unionByName(weights.toDF("lang", "k", "key", "value")), "language-models", few=1)
     sizes = {(r.lang, r.k): r["count"] for r in stored.groupBy("lang", "k").count().collect()}
     if not sizes:
         return None
@@ -416,10 +416,10 @@ def identify(docs: DataFrame, training: Column, lang_col: str = "lang", text_col
     learn = F.coalesce(training & F.col(lang_col).isNotNull(), F.lit(False))
     aside = F.pmod(F.xxhash64(text_col), F.lit(ASIDE)) == 0
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.when(learn, F.col(lang_col).cast("string")).alias("lang"), (learn & aside).alias("aside"), F.col(text_col).alias("text"))
-    counted = common.table(count_grams(marked.where("lang is not null").select("lang", "aside", "text"), order, 64), "grams", few=True)
+    counted = common.table(count_grams(marked.where("lang is not null").select("lang", "aside", "text"), order, 64), "grams", few=1)
     trial, model = fit(counted.where("not aside"), order, most=most), fit(counted, order, most=most)
     tried = predict(marked.where("aside").select("lang", "text"), trial)
     limit = tried.where("doc.lang = lang_pred").groupBy(F.col("lang_pred").alias("l")).agg(F.percentile_approx("entropy", quantile, 10_000).alias("limit"))
-    limit = F.broadcast(common.table(limit, "limits", few=True))  # one row for each language of the model
+    limit = F.broadcast(common.table(limit, "limits", few=1))  # one row for each language of the model
     rows = predict(marked.select("doc", "text"), model).select("doc.doc", "lang_pred", "score", "entropy")
     return rows.join(limit, F.col("lang_pred") == F.col("l"), "left").select("doc", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("limit"), F.lit(False)).alias("rejected"))

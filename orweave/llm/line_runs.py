@@ -134,7 +134,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batc
     for b in range(batches):
         runs.add(spark.read.schema(SCHEMA + ", batch int").parquet(path).where(F.col("batch") == b))
     common.remove(spark, path)
-    found = common.table(runs.found(), "frequent-lines", few=True)  # a table: its size is known, and a hot line's rows can be split
+    found = common.table(runs.found(), "frequent-lines", few=1)  # a table: its size is known, and a hot line's rows can be split
     if own:
         runs.close()
         common.remove(spark, runs.path)
@@ -143,7 +143,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batc
     key_of = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
     placed = docs.select(*key_of, F.posexplode(lines(text)).alias("pos", "line")).select("k1", "k2", "pos", *_hashes(key(F.col("line"))))
     drops = placed.join(found, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
-    drops = common.table(drops, "dropped-lines", few=True)  # a table again: many copies of one text are a skewed join that can be split
+    drops = common.table(drops, "dropped-lines", few=1)  # a table again: many copies of one text are a skewed join that can be split
     met = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key_of).join(drops, ["k1", "k2"], "left")
     text = F.col("doc").getField(text_col)
     met = met.select("doc", "drop", F.when(F.col("drop").isNotNull(), lines(text)).alias("lines"))

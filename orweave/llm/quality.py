@@ -122,7 +122,7 @@ def classify(
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(values, pa.list_(pa.float64()))], names=["doc", "x"])
 
     skinny = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), *row_key(id_col, text_col)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    seen = common.table(skinny.mapInArrow(measure, skinny.select("doc", F.array(F.lit(0.0)).alias("x")).schema), "features", few=True).select("doc.*", "x")
+    seen = common.table(skinny.mapInArrow(measure, skinny.select("doc", F.array(F.lit(0.0)).alias("x")).schema), "features", few=3).select("doc.*", "x")
     seen = seen.join(known, F.col("id") == known["doc_id"], "left").drop("doc_id")
 
     chosen = seen.where("y is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("x", "y").toArrow()
@@ -136,7 +136,7 @@ def classify(
         return pd.Series(shared.value.probabilities(np.array(x.tolist(), float).reshape(-1, len(FEATURES))))
 
     part = F.coalesce("y", score("x"))
-    paths = common.table(seen.select("site", "path", part.alias("e")).groupBy("site", "path").agg(F.sum("e").alias("s"), F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("q")), "paths", few=True)
+    paths = common.table(seen.select("site", "path", part.alias("e")).groupBy("site", "path").agg(F.sum("e").alias("s"), F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("q")), "paths", few=1)
     sites = paths.groupBy("site").agg(F.sum("s").alias("site_s"), F.sum("n").alias("site_n"), F.sum("q").alias("site_q"))
     mean = sites.agg(F.coalesce(F.sum("site_s") / F.sum("site_n"), F.lit(0.5))).first()[0]
     mean = min(max(mean, 1e-3), 1 - 1e-3)
@@ -178,6 +178,6 @@ def keep(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: s
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose ``row_key`` isn't among ``keys`` (k1, k2)."""
-    keys = common.table(keys.distinct(), "rejected", few=True)
+    keys = common.table(keys.distinct(), "rejected", few=1)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id_col, text_col))
     return keyed.join(keys, ["k1", "k2"], "left_anti").select("doc.*")

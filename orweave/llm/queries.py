@@ -29,7 +29,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write conversations, and one whose texts hold control strings, as training examples; digest them as read back."""
     turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    return chat.digest(common.table(chat.examples(turns.unionByName(planted)), "chat", few=True))
+    return chat.digest(common.table(chat.examples(turns.unionByName(planted)), "chat", few=3))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,10 +174,10 @@ def near_duplicates(
     # Equal vectors of a label are one member, named by their 128-bit hash: ids name components alone.
     groups = rows.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
     groups = groups.select("*", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")])).alias("rep"), F.xxhash64("label", F.size("v")).alias("space"))
-    members = common.table(groups.select("h1", "space", "rep", "copies", "v").mapInArrow(pack, "h1 long, h2 long, rep binary, copies long, raw binary").withColumnRenamed("h2", "space"), "vectors", few=True)
+    members = common.table(groups.select("h1", "space", "rep", "copies", "v").mapInArrow(pack, "h1 long, h2 long, rep binary, copies long, raw binary").withColumnRenamed("h2", "space"), "vectors", few=3)
 
     # Each label's trees are as deep as its vectors call for; they share their splits.
-    sizes = common.table(members.groupBy("space").agg(F.count("*").alias("of")), "label-sizes", few=True)
+    sizes = common.table(members.groupBy("space").agg(F.count("*").alias("of")), "label-sizes", few=1)
     by_depth, depth = shape(sizes.agg(F.max("of")).first()[0] or 0, leaf)
     trees = trees or by_depth
     members = members.join(sizes, "space").select("h1", "space", "rep", "copies", "raw", "of")
@@ -210,7 +210,7 @@ def near_duplicates(
                     )
 
     entries = members.mapInArrow(index, "space long, code long, rep binary, copies long, raw binary, codes array<long>")
-    crowded = common.table(entries.groupBy("space", "code").count().where(F.col("count") > room), "crowded-leaves", few=True)
+    crowded = common.table(entries.groupBy("space", "code").count().where(F.col("count") > room), "crowded-leaves", few=1)
     chunks = F.ceil(F.col("count") / room).cast("int")
     mine = F.coalesce(F.pmod(F.xxhash64("rep"), chunks.cast("long")).cast("int"), F.lit(0))
     dealt = entries.join(crowded, ["space", "code"], "left").withColumn("other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))))
@@ -245,12 +245,12 @@ def near_duplicates(
             yield out
 
     tiles = dealt.repartition("space", "code", "i", "j").sortWithinPartitions("space", "code", "i", "j")
-    found = common.table(tiles.mapInArrow(compare, "a binary, b binary, n long"), "links", few=True)
+    found = common.table(tiles.mapInArrow(compare, "a binary, b binary, n long"), "links", few=3)
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     classes = reduce(lambda x, y: x.join(y, "rep", "left"), [groups.select("h1", "h2", "rep", "least", "copies"), linked, joined])
-    classes = common.table(classes.select("h1", "h2", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("grp")), "classes", few=True)
-    names = common.table(classes.groupBy("grp").agg(F.min("least").alias("component")), "names", few=True)  # a table: a large group's rows can be split
+    classes = common.table(classes.select("h1", "h2", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("grp")), "classes", few=1)
+    names = common.table(classes.groupBy("grp").agg(F.min("least").alias("component")), "names", few=1)  # a table: a large group's rows can be split
     classes = classes.join(names, "grp").select("h1", "h2", "n", "component")
     met = rows.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")

@@ -216,7 +216,7 @@ def links(members: DataFrame, bits: int, radius: int, tables: int | None = None,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), some.column(0), some.column(1)], names=["t", "key", "rep", "fp"])
 
     entries = members.select("rep", "fp").mapInArrow(keys, f"t int, key long, rep {kind}, fp binary")
-    hot = common.table(entries.groupBy("t", "key").count().where(F.col("count") > room), "hot-shards", few=True)
+    hot = common.table(entries.groupBy("t", "key").count().where(F.col("count") > room), "hot-shards", few=1)
     k = F.ceil(F.col("count") / room).cast("int")
     mine = F.pmod(F.xxhash64("fp"), k.cast("long")).cast("int")
     dealt = entries.join(hot, ["t", "key"], "left").withColumn("other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), k - 1))))
@@ -262,21 +262,21 @@ def groups(docs: DataFrame, k: int, bits: int, radius: int, tables: int | None =
 
     Fingerprints are linked, whatever the ids of their rows: a row without an id links others as well.
     """
-    rows = common.table(fingerprints(docs, k, bits, id_col, text_col, bands), "fingerprints", few=True)
+    rows = common.table(fingerprints(docs, k, bits, id_col, text_col, bands), "fingerprints", few=3)
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.col("fp")
-    members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", node), "members", few=True)
+    members = common.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", node), "members", few=1)
     edges = links(members, bits, radius, tables, block_bits)
     if bands:
         # Equal fingerprints are one member, whatever their sets: the bands of all its texts count.
-        banded = common.table(rows.select(node.alias("rep"), "bands").distinct().select("rep", F.explode("bands").alias("band")), "bands", few=True)
+        banded = common.table(rows.select(node.alias("rep"), "bands").distinct().select("rep", F.explode("bands").alias("band")), "bands", few=3)
         stars = banded.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most").select("band", "b")
-        stars = common.table(stars, "shared-bands", few=True)
+        stars = common.table(stars, "shared-bands", few=1)
         edges = edges.unionByName(banded.join(stars, "band").where("rep != b").select(F.col("rep").alias("a"), "b").distinct())
     found = components(edges)
     grouped = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("grp"))
-    grouped = common.table(grouped, "grouped", few=True)
-    ids = common.table(grouped.groupBy("grp").agg(F.min("least").alias("component_id")), "names", few=True)  # a table: a large group's rows can be split
-    named = common.table(grouped.join(ids, "grp").select("fp", "grp", "component_id"), "named", few=True)
+    grouped = common.table(grouped, "grouped", few=1)
+    ids = common.table(grouped.groupBy("grp").agg(F.min("least").alias("component_id")), "names", few=1)  # a table: a large group's rows can be split
+    named = common.table(grouped.join(ids, "grp").select("fp", "grp", "component_id"), "named", few=1)
     return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
 
@@ -340,7 +340,7 @@ def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarit
     """
     spark = docs.sparkSession
     crowds = grouped.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    some = common.table(grouped.join(crowds, "grp").select("k1", "k2", "fp", F.xxhash64("grp").alias("g")), "candidates", few=True)
+    some = common.table(grouped.join(crowds, "grp").select("k1", "k2", "fp", F.xxhash64("grp").alias("g")), "candidates", few=1)
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
     rows = keyed.join(some.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("g", "k1", "k2", F.xxhash64("text").alias("t"), "fp", "text")
 
@@ -351,7 +351,7 @@ def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarit
                 sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in part.column(5)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], names=["g", "k1", "k2", "t", "fp", "shingles"])
 
-    sets = common.table(rows.mapInArrow(cut, "g long, k1 long, k2 long, t long, fp binary, shingles binary"), "shingle-sets", few=True)
+    sets = common.table(rows.mapInArrow(cut, "g long, k1 long, k2 long, t long, fp binary, shingles binary"), "shingle-sets", few=3)
     members = sets.dropDuplicates(["g", "t"])
     crowded = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / room).cast("int")
@@ -384,8 +384,8 @@ def verified(docs: DataFrame, grouped: DataFrame, k: int, radius: int, similarit
     # Texts that nothing is similar to are groups of their own, and so are those that no candidate group holds.
     texts = sets.select("k1", "k2", F.col("t").alias("own")).join(found.withColumnRenamed("t", "own"), "own", "left").select("k1", "k2", F.coalesce("component", "own").alias("c"))
     named = grouped.join(texts.distinct(), ["k1", "k2"], "left").select("doc_id", "k1", "k2", "fp", F.coalesce(F.concat(F.lit("c"), "c"), F.concat(F.lit("f"), F.hex("fp"))).alias("grp"))
-    named = common.table(named, "verified", few=True)
-    ids = common.table(named.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "names", few=True)
+    named = common.table(named, "verified", few=3)
+    ids = common.table(named.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "names", few=1)
     return named.join(ids, "grp").select("doc_id", "k1", "k2", "fp", "grp", "component_id")
 
 
