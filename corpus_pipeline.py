@@ -47,7 +47,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts without words are copies of each other.
     """
-    wide = common.table(simhash.groups(docs, SHINGLE, BITS, RADIUS, TABLES, bands=BANDS), "wide-groups", few=True)
+    wide = common.table(simhash.groups(docs, SHINGLE, BITS, RADIUS, TABLES, bands=BANDS), "wide-groups", few=3)
     return common.few_files(simhash.representatives(docs, simhash.verified(docs, wide, SHINGLE, RADIUS, SIMILARITY)))
 
 
@@ -86,6 +86,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, since = common.read(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES:
-        docs, path = common.table_at(stage(spark, docs, sf_dir), name.replace(" ", "-"), few=True)
+        docs, path = common.table_at(stage(spark, docs, sf_dir), name.replace(" ", "-"), few=3)
         common.sweep(since, keep=path)  # what the stage has written besides, and the stage before it
     return docs
